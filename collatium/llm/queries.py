@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from collatium.llm import op1_bpe
+from collatium.llm import op1_bpe, op10_simhash
 from collatium.llm.common import table
 
 
@@ -16,8 +16,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip,)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
