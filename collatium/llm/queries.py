@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from collatium.llm import op1_bpe, op10_simhash
+from collatium.llm import op1_bpe, op3_hnsw, op6_topk, op10_simhash
 from collatium.llm.common import table
 
 
@@ -16,13 +17,34 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op3_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_topk.largest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_hnsw_nearest, op6_pivot_topk, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_pivot_topk": OP6_SQL}
