@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatium.llm import op1_bpe, op3_hnsw, op6_topk, op10_simhash
+from collatium.llm import op1_bpe, op3_hnsw, op6_topk, op7_urls, op8_mixing, op9_warc, op10_simhash
 from collatium.llm.common import table
 
 
@@ -38,13 +38,29 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return op7_urls.judge(pages, labelled)
+
+
+def op8_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op9_warc.resolve(op9_warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    h = F.col("headers")
+    return found.select("record_id", "canonical", F.unix_seconds("ts").alias("seconds"), "original_id", "status", h["content-length"].alias("content_length"), h["cache-control"].alias("cache_control"), h["etag"].alias("etag"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_hnsw_nearest, op6_pivot_topk, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_hnsw_nearest, op6_pivot_topk, op7_url_rules, op8_ipf_mixing, op9_warc_revisits, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pivot_topk": OP6_SQL}
+    return {"op6_pivot_topk": OP6_SQL, "op7_url_rules": op7_urls.oracle(), "op8_ipf_mixing": op8_mixing.oracle(), "op9_warc_revisits": op9_warc.ORACLE}
