@@ -85,3 +85,13 @@ def top_rows(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+#: Rows of a table that is sent to all executors; a longer one is joined by a shuffle.
+SENT = 50_000
+
+
+def matched(rows: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows left-joined with an aggregate of them, which is counted first: sent to all if short, else joined by its key."""
+    small = settle(small)
+    return rows.join(F.broadcast(small) if small.count() <= SENT else small, on, "left")

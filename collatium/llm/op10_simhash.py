@@ -155,14 +155,8 @@ def forest(size: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[t
     return out
 
 
-def links(prints: DataFrame, lanes: int, segments: int, most: int, deep: bool, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between nodes whose fingerprints differ in at most ``most`` bits, enough to span their components.
-
-    prints: distinct fingerprints as (node long, f0 ..). Complete for most < segments; beyond that it finds the pairs
-    that have an equal segment.
-    """
-    dealt = units(ring_keys(prints, lanes, segments, deep), block)
-    names = [f"f{i}" for i in range(lanes)]
+def pairing(names: list[str], linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """For mapInArrow: edges (a, b) of each sorted unit (bucket, lo, hi, node, names) that span its links; ``linked`` compares rows of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, at in runs(batches, ["bucket", "lo", "hi"]):
@@ -176,12 +170,12 @@ def links(prints: DataFrame, lanes: int, segments: int, most: int, deep: bool, b
                 i = np.flatnonzero((of[step:] == of[:-step]) & small[step:])
                 if not len(i):
                     break
-                hit = i[pigeonring(f[i], f[i + step], segments, most)]
+                hit = i[linked(f[i], f[i + step])]
                 edges_a.append(node[hit])
                 edges_b.append(node[hit + step])
             for k in np.flatnonzero(size > 16):
                 own, name = f[at[k] : at[k + 1]], node[at[k] : at[k + 1]]
-                tree = forest(len(own), lambda i, others: pigeonring(own[i][None, :], own[others], segments, most))  # noqa: B023
+                tree = forest(len(own), lambda i, others: linked(own[i][None, :], own[others]))  # noqa: B023
                 if tree:
                     i, j = np.array(tree).T
                     edges_a.append(name[i])
@@ -189,8 +183,20 @@ def links(prints: DataFrame, lanes: int, segments: int, most: int, deep: bool, b
             if edges_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(edges_a)), pa.array(np.concatenate(edges_b))], names=["a", "b"])
 
+    return run
+
+
+def links(prints: DataFrame, lanes: int, segments: int, most: int, deep: bool, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between nodes whose fingerprints differ in at most ``most`` bits, enough to span their components.
+
+    prints: distinct fingerprints as (node long, f0 ..). Complete for most < segments; beyond that it finds the pairs
+    that have an equal segment.
+    """
+    dealt = units(ring_keys(prints, lanes, segments, deep), block)
+    names = [f"f{i}" for i in range(lanes)]
+
     keyed = dealt.select("bucket", "lo", "hi", "node", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return keyed.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return keyed.mapInArrow(pairing(names, lambda a, b: pigeonring(a, b, segments, most)), "a long, b long").filter("a <> b").distinct()
 
 
 def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, most: int = 3, segments: int = 4) -> DataFrame:
@@ -209,3 +215,61 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "component").select("f0", "component_id")
     return rows.join(labels, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicate stage: words of a shingle, 64-bit lanes of a fingerprint, bits of a segment.
+NEAR_SHINGLE, NEAR_LANES, NEAR_WIDTH = 5, 16, 16
+#: Shares of differing bits: up to which documents count as similar (0.8 or more of their shingles in common, with what
+#: a fingerprint errs), and up to which the four segments after an equal one make a candidate.
+NEAR_SHARE, NEAR_CHAIN = 0.16, 0.27
+
+
+def chain_keys(prints: DataFrame, lanes: int, width: int) -> DataFrame:
+    """A row for every segment: node, bucket (the segment's place and value), own and f0, the 64 bits that follow on the ring."""
+    per = 64 // width
+    out = []
+    for s in range(lanes * per):
+        lane, at = divmod(s, per)
+        value = _bits(F.col(f"f{lane}"), at * width, width)
+        shift, after = (at + 1) * width, F.col(f"f{(lane + 1) % lanes}")
+        follow = after if shift == 64 else F.shiftrightunsigned(f"f{lane}", shift).bitwiseOR(F.shiftleft(after, 64 - shift))
+        out.append(F.struct((value + F.lit(s << width)).cast("long").alias("bucket"), follow.alias("f0")))
+    return prints.select("node", F.explode(F.array(*out)).alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.f0")
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, share: float = NEAR_SHARE, block: int = BLOCK) -> DataFrame:
+    """(key, group) for every row whose text is near that of another; group is the smallest key reachable.
+
+    Two texts are near if their fingerprints over distinct shingles differ in ``share`` of the bits at most. Pairs are
+    found where one of the segments is equal and the chain of the next four stays within its budget, and are then
+    compared whole. Equal fingerprints are one node; texts without words are near each other. Keys must be distinct and not null.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    rows = cut(fingerprints(docs, key, text, size, lanes, distinct=True))
+    folded = cut(rows.groupBy(*names).agg(F.min("key").alias("node")))
+    dealt = units(chain_keys(folded, lanes, NEAR_WIDTH), block)
+    keyed = dealt.select("bucket", "lo", "hi", "node", "f0").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    most = int(64 * NEAR_CHAIN)
+    pairs = keyed.mapInArrow(pairing(["f0"], lambda a, b: np.bitwise_count(a[..., 0] ^ b[..., 0]) <= most), "a long, b long")
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (folded.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("a", "b"))
+    gap = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+    edges = pairs.join(left, "a").join(right, "b").filter(gap <= int(64 * lanes * share)).select("a", "b")
+    comp = components(edges)
+    nodes = rows.join(folded, names).select("key", "node")
+    many = nodes.groupBy("node").agg(F.count("*").alias("n"))
+    found = many.join(comp, "node", "left").filter("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("group"))
+    return nodes.join(found, "node").select(F.col("key").alias(key), "group")
+
+
+def keep_one(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest ``order`` (nulls last), then the first read.
+
+    Rows are named by their place in ``docs``, which must read alike each time, as a table does.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = near_groups(placed, "_row", text)
+    member = placed.select("_row", F.col(order).alias("_order")).join(groups, "_row")
+    first = member.groupBy("group").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "_row"))["_row"].alias("_row"))
+    gone = cut(groups.join(first, "_row", "left_anti").select("_row"))
+    return placed.join(gone, "_row", "left_anti").drop("_row")

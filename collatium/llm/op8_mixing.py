@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import settle
+from collatium.llm.common import matched, settle
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS, FACTORS, KEEP, SEED = 6, 6, 0.6, 17
@@ -81,6 +81,17 @@ def mix(docs: DataFrame, key: str = "doc_id", keep: float = KEEP, targets: dict[
     return rows.join(prob, ["source", "lang", "topic"]).withColumn("selected", draw(F.col(key), seed) < F.col("prob")).select(key, "source", "lang", "topic", "tokens", F.round("prob", 9).alias("prob"), "selected")
 
 
+def sampled(docs: DataFrame, key: str = "doc_id", keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with its columns. Texts stay where they are unless there are very many cells."""
+    on = ["_source", "_lang", "_topic"]
+    marks = described(docs.select("text", "source", "lang")).select("tokens", "source", "lang", "topic")
+    cells = settle(marks.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
+    prob = probabilities(rake(cells, MARGINS, targets), keep).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("prob").alias("_prob"))
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_lang": F.coalesce("lang", F.lit("?")), "_topic": topic(F.coalesce("text", F.lit("")), words)})
+    return matched(rows, prob, on).filter(draw(F.col(key), seed) < F.col("_prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def oracle(rounds: int = ROUNDS, factors: int = FACTORS, keep: float = KEEP, seed: int = SEED) -> str:
     ctes = [
         f"""d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang, coalesce(text, '') AS text,

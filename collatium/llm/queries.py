@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatium.llm import op1_bpe, op3_hnsw, op6_topk, op7_urls, op8_mixing, op9_warc, op10_simhash
-from collatium.llm.common import table
+from collatium.llm import op1_bpe, op2_quality, op3_hnsw, op4_lm, op5_langid, op6_topk, op7_urls, op8_mixing, op9_warc, op10_simhash
+from collatium.llm.common import cut, table
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,28 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    scored = op2_quality.score(docs, op2_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "score", "text_score", "meta_score", (F.col("score") >= op2_quality.THRESHOLD).alias("keep"))
+
+
 def op3_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op5_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = op5_langid.fit(docs, "doc_id", "text", "lang")
+    rows = op5_langid.page_rows(table(spark, sf_dir, "pages"))
+    slim = lambda found: cut(found.drop("text"))
+    return op5_langid.identify(rows, model, "text", F.col("declared"), F.col("host"), hold=slim).select("page_id", "host", "declared", "language", "confidence", "accepted")
+
+
 def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_topk.largest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -59,7 +77,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op3_hnsw_nearest, op6_pivot_topk, op7_url_rules, op8_ipf_mixing, op9_warc_revisits, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_cotrained_quality, op3_hnsw_nearest, op4_backoff_scores, op5_fused_language, op6_pivot_topk, op7_url_rules, op8_ipf_mixing, op9_warc_revisits, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
