@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collatium.llm.common import cut, runs
@@ -83,9 +83,9 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int, lanes: int = 1
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, ", ".join(["key long", *[f"f{i} long" for i in range(lanes)], "n long"]))
 
 
-def _bits(word: Column, at: int, n: int) -> Column:
-    """Bits at .. at + n - 1 of a long, from the least significant."""
-    return F.shiftrightunsigned(word, at).bitwiseAND((1 << n) - 1)
+def _bits(word: str, at: int, n: int) -> str:
+    """SQL for bits at .. at + n - 1 of a long, from the least significant."""
+    return f"(shiftrightunsigned({word}, {at}) & {(1 << n) - 1}L)"
 
 
 def ring_keys(prints: DataFrame, lanes: int, segments: int, deep: bool) -> DataFrame:
@@ -95,18 +95,17 @@ def ring_keys(prints: DataFrame, lanes: int, segments: int, deep: bool) -> DataF
     whose bit is set probes with the bit cleared, so each pair meets once.
     """
     width = 64 * lanes // segments
-    words = [F.col(f"f{i}") for i in range(lanes)]
-    seg = [_bits(words[s * width // 64], s * width % 64, width) for s in range(segments)]
-    heads = []
+    seg = [_bits(f"f{s * width // 64}", s * width % 64, width) for s in range(segments)]
+    keys = []
     for s in range(segments):
-        base = F.shiftleft(F.lit(s).cast("long"), 2 * width if deep else width) + (F.shiftleft(seg[s], width) if deep else seg[s])
         if not deep:
-            heads.append(F.array(F.struct(base.alias("bucket"), F.lit(True).alias("own"))))
+            keys.append(f"named_struct('bucket', {s << width}L + {seg[s]}, 'own', true)")
             continue
         follow = seg[(s + 1) % segments]
-        probes = [F.when(follow.bitwiseAND(1 << b) != 0, F.struct((base + follow - (1 << b)).alias("bucket"), F.lit(False).alias("own"))) for b in range(width)]
-        heads.append(F.array(F.struct((base + follow).alias("bucket"), F.lit(True).alias("own")), *probes))
-    return prints.select("*", F.explode(F.flatten(F.array(*heads))).alias("_k")).filter("_k is not null").select(*prints.columns, "_k.bucket", "_k.own")
+        base = f"{s << 2 * width}L + shiftleft({seg[s]}, {width}) + {follow}"
+        keys.append(f"named_struct('bucket', {base}, 'own', true)")
+        keys += [f"if({follow} & {1 << b}L <> 0, named_struct('bucket', {base} - {1 << b}L, 'own', false), null)" for b in range(width)]
+    return prints.select("*", F.expr(f"explode(array({', '.join(keys)}))").alias("_k")).filter("_k is not null").select(*prints.columns, "_k.bucket", "_k.own")
 
 
 def units(rows: DataFrame, block: int) -> DataFrame:
@@ -227,14 +226,13 @@ NEAR_SHARE, NEAR_CHAIN = 0.16, 0.27
 def chain_keys(prints: DataFrame, lanes: int, width: int) -> DataFrame:
     """A row for every segment: node, bucket (the segment's place and value), own and f0, the 64 bits that follow on the ring."""
     per = 64 // width
-    out = []
+    keys = []
     for s in range(lanes * per):
         lane, at = divmod(s, per)
-        value = _bits(F.col(f"f{lane}"), at * width, width)
-        shift, after = (at + 1) * width, F.col(f"f{(lane + 1) % lanes}")
-        follow = after if shift == 64 else F.shiftrightunsigned(f"f{lane}", shift).bitwiseOR(F.shiftleft(after, 64 - shift))
-        out.append(F.struct((value + F.lit(s << width)).cast("long").alias("bucket"), follow.alias("f0")))
-    return prints.select("node", F.explode(F.array(*out)).alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.f0")
+        shift, after = (at + 1) * width, f"f{(lane + 1) % lanes}"
+        follow = after if shift == 64 else f"shiftrightunsigned(f{lane}, {shift}) | shiftleft({after}, {64 - shift})"
+        keys.append(f"named_struct('bucket', {s << width}L + {_bits(f'f{lane}', at * width, width)}, 'f0', {follow})")
+    return prints.select("node", F.expr(f"explode(array({', '.join(keys)}))").alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.f0")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, share: float = NEAR_SHARE, block: int = BLOCK) -> DataFrame:
@@ -253,7 +251,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     pairs = keyed.mapInArrow(pairing(["f0"], lambda a, b: np.bitwise_count(a[..., 0] ^ b[..., 0]) <= most), "a long, b long")
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (folded.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("a", "b"))
-    gap = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+    gap = F.expr(" + ".join(f"bit_count(a_{c} ^ b_{c})" for c in names))
     edges = pairs.join(left, "a").join(right, "b").filter(gap <= int(64 * lanes * share)).select("a", "b")
     comp = components(edges)
     nodes = rows.join(folded, names).select("key", "node")

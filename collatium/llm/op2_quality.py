@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
     got = sorted(rows.mapInArrow(run, "k string, y int, t array<double>, m array<double>").collect(), key=lambda r: r.k)
     y = np.array([-1 if r.y is None else r.y for r in got])
-    t, m = (np.array([r[c] for r in got]).reshape(len(got), -1) for c in ("t", "m"))
+    t, m = (np.array([r[c] for r in got]).reshape(-1, width) for c, width in (("t", TEXT_FEATURES), ("m", META_FEATURES)))
     aside = np.array([zlib.crc32(r.k.encode()) % 4 == 0 for r in got], dtype=bool)
     has = y >= 0
     if len({*y[has & ~aside]}) < 2 or len({*y[has & aside]}) < 2:
