@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from collatium.plans import aggregates, matching, reading, sequences  # noqa: F401
