@@ -12,7 +12,7 @@ table gives an empty result. Only aggregates of the cell table reach the driver,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatium.llm.common import matched, settle
@@ -35,22 +35,31 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def rake(cells: DataFrame, margins: dict[str, float], targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins.., tokens) with weight: shares of the whole whose margins meet the targets as far as the cells allow."""
-    spark, goal = cells.sparkSession, {}
+    """cells (margins.., tokens) with weight: shares of the whole whose margins meet the targets as far as the cells allow.
+
+    A margin's sums are windows over the cells, which are counted already; no join and no broadcast is repeated.
+    """
+    given = targets or {}
+    over = {m: Window.partitionBy(m) for m in margins}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m, power in margins.items():
-        if targets and m in targets:
-            t = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"{m} string, goal double")
+        if m in given:
+            table = F.create_map(*[F.lit(x) for k, v in given[m].items() for x in (k, float(v))])
+            goal = F.coalesce(F.element_at(table, F.col(m)), F.lit(0.0)) / sum(given[m].values())
+            now = now.withColumns({f"_goal_{m}": goal, f"_share_{m}": F.lit(0.0)})
         else:
-            t = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("goal")).filter("goal > 0")
-        total = t.agg(F.sum("goal")).first()[0] or 1.0
-        goal[m] = settle(t.select(m, (F.col("goal") / total).alias("goal")))
+            goal = F.pow(F.sum("tokens").over(over[m]).cast("double"), F.lit(power))
+            now = now.withColumn(f"_goal_{m}", goal).withColumn(f"_share_{m}", F.col(f"_goal_{m}") / F.count("*").over(over[m]))
+    now = settle(now)
+    whole = now.agg(*[F.sum(f"_share_{m}").alias(m) for m in margins]).first()
+    for m in margins:
+        now = now.drop(f"_share_{m}") if m in given else now.withColumn(f"_goal_{m}", F.col(f"_goal_{m}") / (whole[m] or 1.0)).drop(f"_share_{m}")
     for _ in range(rounds):
         for m in margins:
-            factor = now.groupBy(m).agg(F.sum("weight").alias("s")).join(goal[m], m, "left").select(m, F.when(F.col("s") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(factor, m).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+            s = F.sum("weight").over(over[m])
+            now = now.withColumn("_s", s).withColumn("weight", F.when(F.col("_s") > 0, F.col("weight") * (F.col(f"_goal_{m}") / F.col("_s"))).otherwise(0.0)).drop("_s")
         now = settle(now)
-    return now
+    return now.drop(*[f"_goal_{m}" for m in margins])
 
 
 def probabilities(cells: DataFrame, keep: float, factors: int = FACTORS) -> DataFrame:
