@@ -12,7 +12,8 @@ from collatium.plans.common import BY, ORDER, OVER, READINGS, events, letters_sq
 from collatium.sources import sinks
 from collatium.sources.tables import embedded, load, mixed_anchor, optional, paragraphs
 
-T = F.col("text")
+def _text():
+    return F.col("text")
 
 
 def documents(spark, d, *columns):
@@ -49,8 +50,8 @@ def s8(spark, d):
 @query("k3_document_per_group", """SELECT conv_id, md5('<title>' || conv_id || '</title>' || chr(10) || string_agg('<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>', chr(10) ORDER BY turn, text)) AS html FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
 def k3(spark, d):
     rows = load(spark, d, "conversations", "conv_id", "turn", "text").filter("text is not null")
-    line = F.concat(F.lit("<p>"), folds.escaped(T), F.lit("</p>"))
-    return sinks.documents(rows.withColumn("own", T), ["conv_id"], ["turn", "own"], line, F.col("conv_id").cast("string")).select("conv_id", F.md5("html").alias("html"))
+    line = F.concat(F.lit("<p>"), folds.escaped(_text()), F.lit("</p>"))
+    return sinks.documents(rows.withColumn("own", _text()), ["conv_id"], ["turn", "own"], line, F.col("conv_id").cast("string")).select("conv_id", F.md5("html").alias("html"))
 
 
 @query("k5_report", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars < 500) AS short, round(count(*) FILTER (WHERE n_chars < 500) / greatest(count(*), 1), 6) AS share FROM documents GROUP BY lang")
@@ -61,7 +62,7 @@ def k5(spark, d):
 
 @query("k6_rejects", "SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'shout' WHEN contains(text, '%%%') THEN 'symbols' END AS reject_reason FROM documents WHERE contains(text, '!!') OR contains(text, '%%%')")
 def k6(spark, d):
-    reason = F.when(F.contains(T, F.lit("!!")), "shout").when(F.contains(T, F.lit("%%%")), "symbols")
+    reason = F.when(F.contains(_text(), F.lit("!!")), "shout").when(F.contains(_text(), F.lit("%%%")), "symbols")
     return sinks.routed(documents(spark, d), reason)[1].select("doc_id", "reject_reason")
 
 
@@ -160,7 +161,7 @@ def f16(spark, d):
 
 @query("f18_blank_rendering", f"SELECT doc_id, length({skeleton_sql('text')}) AS shown FROM documents WHERE {skeleton_sql('text')} <> ''")
 def f18(spark, d):
-    return documents(spark, d).withColumn("s", folds.skeleton(T)).filter("s <> ''").select("doc_id", F.length("s").cast("long").alias("shown"))
+    return documents(spark, d).withColumn("s", folds.skeleton(_text())).filter("s <> ''").select("doc_id", F.length("s").cast("long").alias("shown"))
 
 
 @query("f19_note_filters", r"""WITH n AS (SELECT doc_id, list_filter(string_split(want, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^[0-9]{1,3}$') AND NOT starts_with(x, 'Licensed')) AS notes FROM """ + READINGS + """)
@@ -184,7 +185,7 @@ def f21(spark, d):
 
 @query("f22_script_purity", r"SELECT doc_id, regexp_matches(text, '^[\p{Latin}\p{Common}]*$') AS latin, regexp_matches(text, '[^\x00-\x7F]') AS beyond_ascii FROM documents")
 def f22(spark, d):
-    return documents(spark, d).select("doc_id", T.rlike(r"^[\p{IsLatin}\p{IsCommon}]*$").alias("latin"), T.rlike(r"[^\x00-\x7F]").alias("beyond_ascii"))
+    return documents(spark, d).select("doc_id", _text().rlike(r"^[\p{IsLatin}\p{IsCommon}]*$").alias("latin"), _text().rlike(r"[^\x00-\x7F]").alias("beyond_ascii"))
 
 
 @query("f23_pointed_only", f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '(\\p{{L}}+)', 1)) AS token FROM documents) WHERE {unaccented_sql('token')} <> token GROUP BY token")
@@ -200,12 +201,12 @@ def f24(spark, d):
 
 @query("c1_skeleton", f"SELECT doc_id, md5({skeleton_sql('text')}) AS skeleton, length({letters_sql('text')}) AS letters FROM documents")
 def c1(spark, d):
-    return documents(spark, d).select("doc_id", F.md5(folds.skeleton(T)).alias("skeleton"), F.length(folds.letters(T)).cast("long").alias("letters"))
+    return documents(spark, d).select("doc_id", F.md5(folds.skeleton(_text())).alias("skeleton"), F.length(folds.letters(_text())).cast("long").alias("letters"))
 
 
 @query("c2_accent_fold", f"SELECT doc_id, md5({unaccented_sql('text')}) AS folded, md5(strip_accents(lower(text))) AS nfd FROM documents")
 def c2(spark, d):
-    return documents(spark, d).select("doc_id", F.md5(folds.unaccented(T)).alias("folded"), F.md5(arrow.nfd_fold("text")).alias("nfd"))
+    return documents(spark, d).select("doc_id", F.md5(folds.unaccented(_text())).alias("folded"), F.md5(arrow.nfd_fold("text")).alias("nfd"))
 
 
 @query("c7_base_units", r"SELECT doc_id, md5(array_to_string(list_reverse(regexp_extract_all(want, '([^aeiou ][aeiou]*)', 1)), '')) AS units FROM " + READINGS)
@@ -305,7 +306,7 @@ KEYS = {"table": r" \| ", "shout": "!!", "digits": "[0-9]", "never": "☃"}
 
 @query("c35_keys_in_use", " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS n FROM documents WHERE regexp_matches(text, '{rx}') HAVING count(*) > 0" for k, rx in KEYS.items()))
 def c35(spark, d):
-    hits = F.array_compact(F.array(*[F.when(T.rlike(rx), k) for k, rx in KEYS.items()]))
+    hits = F.array_compact(F.array(*[F.when(_text().rlike(rx), k) for k, rx in KEYS.items()]))
     return documents(spark, d).select(F.explode(hits).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 

@@ -11,10 +11,13 @@ from collatium.plans.catalog import query
 from collatium.plans.common import BY, ORDER, OVER, events, skeleton_sql
 from collatium.sources.tables import load
 
-W = Window.partitionBy(*BY).orderBy(*ORDER)
 UPTO, BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
+def _w():
+    return Window.partitionBy(*BY).orderBy(*ORDER)
+
+
 def of(kind: str):
     return F.col("event_type") == kind
 
@@ -43,7 +46,7 @@ def w3(spark, d):
 
 @query("w4_lookahead", f"SELECT event_id, lead(value) OVER ({OVER}) AS next_value, coalesce(lead(value) OVER ({OVER}) - value > 100, false) AS gap FROM events")
 def w4(spark, d):
-    ahead = F.lead("value").over(W)
+    ahead = F.lead("value").over(_w())
     return events(spark, d).select("event_id", ahead.alias("next_value"), F.coalesce(ahead - F.col("value") > 100, F.lit(False)).alias("gap"))
 
 
@@ -51,8 +54,8 @@ def w4(spark, d):
 WITH n AS (SELECT *, coalesce(lead(event_type) OVER ({OVER}) = 'purchase', false) AS holds FROM events)
 SELECT event_id, holds, CASE WHEN coalesce(lag(holds) OVER ({OVER}), false) THEN coalesce(lag(value) OVER ({OVER}), 0) ELSE 0 END AS carried FROM n""")
 def w5(spark, d):
-    rows = events(spark, d).withColumn("holds", F.coalesce(F.lead("event_type").over(W) == "purchase", F.lit(False)))
-    return rows.select("event_id", "holds", F.when(F.coalesce(F.lag("holds").over(W), F.lit(False)), F.coalesce(F.lag("value").over(W), F.lit(0.0))).otherwise(0.0).alias("carried"))
+    rows = events(spark, d).withColumn("holds", F.coalesce(F.lead("event_type").over(_w()) == "purchase", F.lit(False)))
+    return rows.select("event_id", "holds", F.when(F.coalesce(F.lag("holds").over(_w()), F.lit(False)), F.coalesce(F.lag("value").over(_w()), F.lit(0.0))).otherwise(0.0).alias("carried"))
 
 
 @query("w6_last_position", f"SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN value END IGNORE NULLS) OVER ({OVER} {UPTO}) AS carried FROM events")
@@ -118,7 +121,7 @@ WITH g AS (SELECT *, coalesce(sum(CAST(value >= 20 AS INTEGER)) OVER ({OVER} {BE
 SELECT event_id, CAST(part AS BIGINT) AS part, lead(part) OVER ({OVER}) IS DISTINCT FROM part AS last_of_group FROM g""")
 def w14(spark, d):
     rows = order.islands(events(spark, d), BY, ORDER, F.col("value") >= 20, "part")
-    return rows.select("event_id", "part", (~F.lead("part").over(W).eqNullSafe(F.col("part"))).alias("last_of_group"))
+    return rows.select("event_id", "part", (~F.lead("part").over(_w()).eqNullSafe(F.col("part"))).alias("last_of_group"))
 
 
 @query("w15_neighbour_links", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS prev, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, text) AS next FROM conversations")
@@ -141,5 +144,5 @@ def w17(spark, d):
 
 @query("j24_neighbours", f"SELECT event_id, greatest(coalesce(lag(value, 2) OVER ({OVER}), -1), coalesce(lag(value) OVER ({OVER}), -1), coalesce(lead(value) OVER ({OVER}), -1), coalesce(lead(value, 2) OVER ({OVER}), -1)) AS around FROM events")
 def j24(spark, d):
-    near = [F.coalesce(f("value", k).over(W), F.lit(-1.0)) for f in (F.lag, F.lead) for k in (1, 2)]
+    near = [F.coalesce(f("value", k).over(_w()), F.lit(-1.0)) for f in (F.lag, F.lead) for k in (1, 2)]
     return events(spark, d).select("event_id", F.greatest(*near).alias("around"))
