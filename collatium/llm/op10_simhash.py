@@ -224,15 +224,16 @@ NEAR_SHARE, NEAR_CHAIN = 0.16, 0.27
 
 
 def chain_keys(prints: DataFrame, lanes: int, width: int) -> DataFrame:
-    """A row for every segment: node, bucket (the segment's place and value), own and f0, the 64 bits that follow on the ring."""
+    """A row for every segment: node, bucket (the segment's place and value), own, next (the 64 bits that follow on the ring) and the words."""
     per = 64 // width
     keys = []
     for s in range(lanes * per):
         lane, at = divmod(s, per)
         shift, after = (at + 1) * width, f"f{(lane + 1) % lanes}"
         follow = after if shift == 64 else f"shiftrightunsigned(f{lane}, {shift}) | shiftleft({after}, {64 - shift})"
-        keys.append(f"named_struct('bucket', {s << width}L + {_bits(f'f{lane}', at * width, width)}, 'f0', {follow})")
-    return prints.select("node", F.expr(f"explode(array({', '.join(keys)}))").alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.f0")
+        keys.append(f"named_struct('bucket', {s << width}L + {_bits(f'f{lane}', at * width, width)}, 'next', {follow})")
+    names = [f"f{i}" for i in range(lanes)]
+    return prints.select("node", *names, F.expr(f"explode(array({', '.join(keys)}))").alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.next", *names)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, share: float = NEAR_SHARE, block: int = BLOCK) -> DataFrame:
@@ -246,13 +247,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     rows = cut(fingerprints(docs, key, text, size, lanes, distinct=True))
     folded = cut(rows.groupBy(*names).agg(F.min("key").alias("node")))
     dealt = units(chain_keys(folded, lanes, NEAR_WIDTH), block)
-    keyed = dealt.select("bucket", "lo", "hi", "node", "f0").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    most = int(64 * NEAR_CHAIN)
-    pairs = keyed.mapInArrow(pairing(["f0"], lambda a, b: np.bitwise_count(a[..., 0] ^ b[..., 0]) <= most), "a long, b long")
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (folded.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("a", "b"))
-    gap = F.expr(" + ".join(f"bit_count(a_{c} ^ b_{c})" for c in names))
-    edges = pairs.join(left, "a").join(right, "b").filter(gap <= int(64 * lanes * share)).select("a", "b")
+    keyed = dealt.select("bucket", "lo", "hi", "node", "next", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    chain, most = int(64 * NEAR_CHAIN), int(64 * lanes * share)
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b
+        out = np.bitwise_count(x[..., 0]) <= chain
+        out[out] = np.bitwise_count(x[out][:, 1:]).sum(-1, dtype=np.int64) <= most
+        return out
+
+    edges = keyed.mapInArrow(pairing(["next", *names], linked), "a long, b long").filter("a <> b").distinct()
     comp = components(edges)
     nodes = rows.join(folded, names).select("key", "node")
     many = nodes.groupBy("node").agg(F.count("*").alias("n"))

@@ -241,6 +241,23 @@ def test_near_duplicates_of_documents(spark, sf):
     assert all(partner[k] >= 0.7 for k in group)
 
 
+def passages(rng, n, shared, own):
+    """n pairs of texts with a passage in common to all: each has words of its own, a pair differs in its last five words."""
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    passage = [word() for _ in range(shared)]
+    for _ in range(n):
+        mine = [word() for _ in range(own)]
+        yield " ".join(passage + mine + [word() for _ in range(5)]), " ".join(passage + mine + [word() for _ in range(5)])
+
+
+def test_near_duplicates_among_documents_that_share_a_passage(spark):
+    """1,500 pairs at 0.9 within a passage that puts any two texts at 0.67: no pair is lost in the large buckets."""
+    texts = [t for pair in passages(np.random.default_rng(8), 1500, 80, 14) for t in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    group = {r.doc_id: r.group for r in op10_simhash.near_groups(docs).collect()}
+    assert sum(group.get(2 * i, -1) == group.get(2 * i + 1, -2) for i in range(1500)) >= 1490
+
+
 def test_keep_one_of_odd_rows(odd, none):
     kept = op10_simhash.keep_one(odd).collect()
     texts = [r.text for r in kept if (r.text or "").strip()]
