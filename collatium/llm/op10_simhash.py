@@ -112,11 +112,16 @@ def units(rows: DataFrame, block: int) -> DataFrame:
     """rows (node, bucket, own, ...) dealt to units (bucket, lo, hi): buckets of one row or none of its own are left out,
     large ones are split into blocks, and every pair of blocks is a unit."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"))
+    return in_blocks(rows, sizes).drop("own")
+
+
+def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (node, bucket, ...) of the buckets in sizes (bucket, nb blocks), once for each pair of blocks they belong to."""
     dealt = rows.join(sizes, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     return (
         dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumns({"lo": F.least("b", "x"), "hi": F.greatest("b", "x")})
-        .drop("nb", "x", "b", "own")
+        .drop("nb", "x", "b")
     )
 
 
@@ -216,49 +221,103 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     return rows.join(labels, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate stage: words of a shingle, 64-bit lanes of a fingerprint, bits of a segment.
-NEAR_SHINGLE, NEAR_LANES, NEAR_WIDTH = 5, 16, 16
-#: Shares of differing bits: up to which documents count as similar (0.8 or more of their shingles in common, with what
-#: a fingerprint errs), and up to which the four segments after an equal one make a candidate.
-NEAR_SHARE, NEAR_CHAIN = 0.16, 0.27
+#: Near-duplicate stage: words of a shingle; bands of a signature, minima of a band; bytes kept of a shingle's hash.
+NEAR_SHINGLE, BANDS, MINIMA, KEPT = 5, 24, 5, 5
+#: Texts are near if they have this share of their shingles in common, or more; bytes of hashes in a block.
+NEAR, NEAR_BLOCK = (4, 5), 4 << 20
+_TIMES, _PLUS = (np.random.default_rng(seed).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1) for seed in (1, 2))
 
 
-def chain_keys(prints: DataFrame, lanes: int, width: int) -> DataFrame:
-    """A row for every segment: node, bucket (the segment's place and value), own, next (the 64 bits that follow on the ring) and the words."""
-    per = 64 // width
-    keys = []
-    for s in range(lanes * per):
-        lane, at = divmod(s, per)
-        shift, after = (at + 1) * width, f"f{(lane + 1) % lanes}"
-        follow = after if shift == 64 else f"shiftrightunsigned(f{lane}, {shift}) | shiftleft({after}, {64 - shift})"
-        keys.append(f"named_struct('bucket', {s << width}L + {_bits(f'f{lane}', at * width, width)}, 'next', {follow})")
-    names = [f"f{i}" for i in range(lanes)]
-    return prints.select("node", *names, F.expr(f"explode(array({', '.join(keys)}))").alias("_k")).select("node", "_k.bucket", F.lit(True).alias("own"), "_k.next", *names)
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature of distinct hashes. Sets at 0.8 have an equal one at odds of 0.9999."""
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), 4096):
+            z = h[i : i + 4096, None] * _TIMES + _PLUS
+            least = np.minimum(least, ((z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).min(0))
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for column in least.reshape(BANDS, MINIMA).T:
+            key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+    return key.view(np.int64)
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, share: float = NEAR_SHARE, block: int = BLOCK) -> DataFrame:
-    """(key, group) for every row whose text is near that of another; group is the smallest key reachable.
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key long, same binary, hashes binary, bands array<long>): each text's distinct shingles, with a digest of them.
 
-    Two texts are near if their fingerprints over distinct shingles differ in ``share`` of the bits at most. Pairs are
-    found where one of the segments is equal and the chain of the next four stays within its budget, and are then
-    compared whole. Equal fingerprints are one node; texts without words are near each other. Keys must be distinct and not null.
+    hashes: the first KEPT bytes of each, ascending. A wordless text has no hashes and no bands.
     """
-    names = [f"f{i}" for i in range(lanes)]
-    rows = cut(fingerprints(docs, key, text, size, lanes, distinct=True))
-    folded = cut(rows.groupBy(*names).agg(F.min("key").alias("node")))
-    dealt = units(chain_keys(folded, lanes, NEAR_WIDTH), block)
-    keyed = dealt.select("bucket", "lo", "hi", "node", "next", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    chain, most = int(64 * NEAR_CHAIN), int(64 * lanes * share)
-
-    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = a ^ b
-        out = np.bitwise_count(x[..., 0]) <= chain
-        out[out] = np.bitwise_count(x[out][:, 1:]).sum(-1, dtype=np.int64) <= most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, hashes, keys = [], [], []
+            for value in batch.column(1):
+                h = np.unique(shingle_hashes(value.as_py(), size))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                hashes.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
+                keys.append(band_keys(h.astype(np.uint64)) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "hashes", "bands"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, same binary, hashes binary, bands array<long>")
+
+
+def alike(sets: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest of the sets that are near by count; no set is empty."""
+    size = np.array([len(x) // KEPT for x in sets])
+    start = np.cumsum(size) - size
+    wide = np.zeros((int(size.sum()), 8), dtype=np.uint8)
+    wide[:, :KEPT] = np.frombuffer(b"".join(sets), dtype=np.uint8).reshape(-1, KEPT)
+    _, ids = np.unique(wide.reshape(-1).view(np.uint64), return_inverse=True)
+    flag = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+    low, high = NEAR
+
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        own, n = ids[start[i] : start[i] + size[i]], size[others]
+        # the shorter set is at least that share of the longer one
+        fits = (high * np.minimum(n, size[i]) >= low * np.maximum(n, size[i])).nonzero()[0]
+        out = np.zeros(len(others), dtype=bool)
+        if len(fits):
+            n, first = n[fits], start[others[fits]]
+            ends = np.cumsum(n)
+            flag[own] = 1
+            common = np.add.reduceat(flag[ids[np.arange(ends[-1]) + np.repeat(first - ends + n, n)]], ends - n)
+            flag[own] = 0
+            out[fits] = high * common >= low * (n + size[i] - common)
         return out
 
-    edges = keyed.mapInArrow(pairing(["next", *names], linked), "a long, b long").filter("a <> b").distinct()
+    return forest(len(sets), linked)
+
+
+def near_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: edges (a, b) of each sorted unit (bucket, lo, hi, node, hashes) that span its near sets."""
+    for piece, at in runs(batches, ["bucket", "lo", "hi"]):
+        node, hashes = piece.column("node").to_numpy(), piece.column("hashes")
+        a, b = [], []
+        for k, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for i, j in alike(hashes.slice(k, end - k).to_pylist()) if end - k > 1 else ():
+                a.append(node[k + i])
+                b.append(node[k + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, block: int = NEAR_BLOCK) -> DataFrame:
+    """(key, group) for every row whose text is near that of another; group is the smallest key reachable.
+
+    Two texts are near if NEAR of their distinct shingles are common, which is counted for all that share a band of a
+    MinHash signature, within the units. Buckets of equal members are one. Equal sets are one node; texts without words
+    are near each other. Keys must be distinct and not null.
+    """
+    rows = cut(shingle_sets(docs, key, text, size))
+    folded = cut(rows.groupBy("same").agg(F.min("key").alias("node"), F.first("bands").alias("bands"), F.max(F.octet_length("hashes")).alias("bytes")))
+    keys = folded.select("node", "bytes", F.explode("bands").alias("bucket"))
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
+    sizes = sizes.groupBy("n", "bytes", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("bytes") / block).cast("int").alias("nb"))
+    dealt = in_blocks(keys.select("node", "bucket"), sizes)
+    sets = dealt.join(rows.select(F.col("key").alias("node"), "hashes"), "node")
+    keyed = sets.select("bucket", "lo", "hi", "node", "hashes").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    edges = keyed.mapInArrow(near_edges, "a long, b long").distinct()
     comp = components(edges)
-    nodes = rows.join(folded, names).select("key", "node")
+    nodes = rows.select("key", "same").join(folded.select("same", "node"), "same").select("key", "node")
     many = nodes.groupBy("node").agg(F.count("*").alias("n"))
     found = many.join(comp, "node", "left").filter("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("group"))
     return nodes.join(found, "node").select(F.col("key").alias(key), "group")

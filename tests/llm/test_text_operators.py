@@ -250,6 +250,20 @@ def passages(rng, n, shared, own):
         yield " ".join(passage + mine + [word() for _ in range(5)]), " ".join(passage + mine + [word() for _ in range(5)])
 
 
+def test_near_duplicates_are_counted(spark):
+    """Texts of n shingles with 8 in 9 of them common are at 0.8 and near; with one shingle less they aren't."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k in range(600):
+        n = int(rng.choice([27, 90, 450]))
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+        shared = -(-8 * n // 9) - (k % 2)  # the least count that makes 0.8 of the union, and one less
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: shared + 4] + [f"v{x}" for x in rng.integers(0, 10**9, n - shared)]))]
+        want[2 * k] = k % 2 == 0
+    group = {r.doc_id: r.group for r in op10_simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [k for k, near in want.items() if not near and k in group]
+    assert sum(group.get(k + 1) == k for k, near in want.items() if near) >= 299
+
+
 def test_near_duplicates_among_documents_that_share_a_passage(spark):
     """1,500 pairs at 0.9 within a passage that puts any two texts at 0.67: no pair is lost in the large buckets."""
     texts = [t for pair in passages(np.random.default_rng(8), 1500, 80, 14) for t in pair]
