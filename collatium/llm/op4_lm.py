@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Longest n-gram, backoff factor, bytes of a block's texts (a longer text is a block of its own), bytes of text for a part.
-ORDER, BACKOFF, BLOCK, PART = 2, 0.4, 12 << 20, 12 << 20
+ORDER, BACKOFF, BLOCK, PART = 3, 0.4, 12 << 20, 12 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

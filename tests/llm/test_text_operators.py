@@ -86,6 +86,13 @@ def test_backoff_scores(spark, sf, odd, order, monkeypatch):
         assert sorted(s for _, _, s in got if s is not None) == pytest.approx(sorted(s for _, _, s in want if s is not None), abs=0.002)
 
 
+def test_the_registered_model_has_contexts_of_two_words(spark):
+    """'a b c' and 'x b d' are each found once more: after two words the next one is certain, after 'b' alone it isn't."""
+    texts = ["a b c", "a b c", "x b d", "x b d"]
+    got = op4_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.log_score for r in got] == pytest.approx([s for _, s in backoff(texts, 3)], abs=1e-5)
+
+
 def test_backoff_empty_table(none):
     assert op4_lm.score(none).count() == 0
 
