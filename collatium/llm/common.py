@@ -13,24 +13,30 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode; a cluster without it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="collatium-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, so that a lost executor costs no upstream work."""
-    path = f"{scratch(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back, so that a lost executor costs no upstream work.
+
+    The tables of a session lie in one folder, named by its application id: whoever ends the session may delete it.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """checkpoint() for the small tables of iterative algorithms; cleaned up with the DataFrame."""
+    """checkpoint() for the small tables of iterative algorithms."""
     scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -87,11 +93,16 @@ def top_rows(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-#: Rows of a table that is sent to all executors; a longer one is joined by a shuffle.
-SENT = 50_000
+#: A key with more than one in HOT of all rows is hot. There are fewer than HOT of them, however many rows there are.
+HOT = 4096
 
 
-def matched(rows: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
-    """rows left-joined with an aggregate of them, which is counted first: sent to all if short, else joined by its key."""
-    small = settle(small)
-    return rows.join(F.broadcast(small) if small.count() <= SENT else small, on, "left")
+def keyed_join(rows: DataFrame, known: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with ``known``, which has one row for each key and its number of rows in ``count`` (left out).
+
+    The hot keys, fewer than HOT by their definition, are sent to all executors, so that their rows stay where they are; the
+    others meet by a shuffle, in which no key has more than one in HOT of the rows. total: at least the sum of ``count``.
+    """
+    hot = known.filter(F.col(count) > total // HOT).drop(count)
+    cold = known.filter(F.col(count) <= total // HOT).drop(count)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))

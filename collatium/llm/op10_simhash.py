@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut, runs
+from collatium.llm.common import cut, keyed_join, runs
 from collatium.llm.components import components
 
 #: Rows of a block; a unit holds two blocks at most.
@@ -111,13 +111,18 @@ def ring_keys(prints: DataFrame, lanes: int, segments: int, deep: bool) -> DataF
 def units(rows: DataFrame, block: int) -> DataFrame:
     """rows (node, bucket, own, ...) dealt to units (bucket, lo, hi): buckets of one row or none of its own are left out,
     large ones are split into blocks, and every pair of blocks is a unit."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    return in_blocks(rows, sizes).drop("own")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("any")).filter("n > 1 and any").select("bucket", "n", F.ceil(F.col("n") / block).cast("int").alias("nb"))
+    return in_blocks(rows, cut(sizes)).drop("own")
 
 
 def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (node, bucket, ...) of the buckets in sizes (bucket, nb blocks), once for each pair of blocks they belong to."""
-    dealt = rows.join(sizes, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    """rows (node, bucket, ...) of the buckets in sizes (bucket, n rows, nb blocks), once for each pair of blocks they belong to.
+
+    A bucket larger than a block thus gives each row as many times as it has blocks: all its pairs must be looked at, and
+    this is how they are dealt to bounded tasks.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    dealt = keyed_join(rows, sizes, ["bucket"], "n", total).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     return (
         dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumns({"lo": F.least("b", "x"), "hi": F.greatest("b", "x")})
@@ -211,20 +216,24 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     assert most < segments, "the chain's first segment is equal only if the bits are fewer than the segments"
     rows = cut(fingerprints(docs, key, text, size).drop("n"))
-    folded = cut(rows.groupBy("f0").agg(F.min("key").alias("least")))
+    folded = cut(rows.groupBy("f0").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     # the fingerprint itself is the node: no key is needed, and equal fingerprints are one node
     edges = links(folded.select(F.col("f0").alias("node"), "f0"), 1, segments, most, deep=True)
     comp = components(edges)
-    named = folded.join(comp, folded.f0 == comp.node, "left").select("f0", "least", F.coalesce("component", "f0").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "component").select("f0", "component_id")
-    return rows.join(labels, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(folded.join(comp, folded.f0 == comp.node, "left").select("f0", "least", "n", F.coalesce("component", "f0").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"), F.sum("n").alias("rows")))
+    total = least.agg(F.sum("rows")).first()[0] or 0
+    labels = cut(keyed_join(named, least.drop("rows"), ["component"], "m", total).select("f0", "n", "component_id"))
+    return keyed_join(rows, labels, ["f0"], "n", total).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Near-duplicate stage: words of a shingle; bands of a signature, minima of a band; bytes kept of a shingle's hash.
 NEAR_SHINGLE, BANDS, MINIMA, KEPT = 5, 24, 5, 5
 #: Texts are near if they have this share of their shingles in common, or more; bytes of hashes in a block.
 NEAR, NEAR_BLOCK = (4, 5), 4 << 20
+#: Words of a fingerprint, segments on its ring, bits that may differ. Sets at 0.8 differ in 39 of 256 bits, with a
+#: deviation of 6; unrelated ones in 128. The bound lies over six deviations above the first.
+NEAR_LANES, NEAR_SEGMENTS, NEAR_BITS = 4, 16, 80
 _TIMES, _PLUS = (np.random.default_rng(seed).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1) for seed in (1, 2))
 
 
@@ -242,27 +251,38 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key long, same binary, hashes binary, bands array<long>): each text's distinct shingles, with a digest of them.
+def prefix_keys(h: np.ndarray) -> np.ndarray:
+    """The first hashes of an ascending set: two sets with NEAR in common share one of theirs without exception."""
+    low, high = NEAR
+    return h[: len(h) - -(-low * len(h) // high) + 1].astype(np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int, exact: bool = False) -> DataFrame:
+    """(key long, same binary, hashes binary, f0 .. long, bands array<long>): each text's distinct shingles, with a digest of
+    them, their SimHash, and the keys by which candidates meet.
 
     hashes: the first KEPT bytes of each, ascending. A wordless text has no hashes and no bands.
     """
+    names = [f"f{i}" for i in range(NEAR_LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, hashes, keys = [], [], []
+            same, hashes, prints, keys = [], [], [], []
             for value in batch.column(1):
                 h = np.unique(shingle_hashes(value.as_py(), size))
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 hashes.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
-                keys.append(band_keys(h.astype(np.uint64)) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "hashes", "bands"])
+                prints.append(simhash(h, NEAR_LANES))
+                keys.append((prefix_keys(h) if exact else band_keys(h.astype(np.uint64))) if len(h) else [])
+            words = [pa.array([p[i] for p in prints], pa.int64()) for i in range(NEAR_LANES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), *words, pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "hashes", *names, "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, same binary, hashes binary, bands array<long>")
+    schema = ", ".join(["key long", "same binary", "hashes binary", *[f"{n} long" for n in names], "bands array<long>"])
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def alike(sets: list[bytes]) -> list[tuple[int, int]]:
-    """A spanning forest of the sets that are near by count; no set is empty."""
+def alike(sets: list[bytes], prints: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the sets that are near by count, among those that the pigeonring lets pass; no set is empty."""
     size = np.array([len(x) // KEPT for x in sets])
     start = np.cumsum(size) - size
     wide = np.zeros((int(size.sum()), 8), dtype=np.uint8)
@@ -275,6 +295,7 @@ def alike(sets: list[bytes]) -> list[tuple[int, int]]:
         own, n = ids[start[i] : start[i] + size[i]], size[others]
         # the shorter set is at least that share of the longer one
         fits = (high * np.minimum(n, size[i]) >= low * np.maximum(n, size[i])).nonzero()[0]
+        fits = fits[pigeonring(prints[i][None, :], prints[others[fits]], NEAR_SEGMENTS, NEAR_BITS)] if len(fits) else fits
         out = np.zeros(len(others), dtype=bool)
         if len(fits):
             n, first = n[fits], start[others[fits]]
@@ -289,48 +310,61 @@ def alike(sets: list[bytes]) -> list[tuple[int, int]]:
 
 
 def near_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: edges (a, b) of each sorted unit (bucket, lo, hi, node, hashes) that span its near sets."""
+    """For mapInArrow: edges (a, b) of each sorted unit (bucket, lo, hi, node, hashes, f0 ..) that span its near sets."""
     for piece, at in runs(batches, ["bucket", "lo", "hi"]):
         node, hashes = piece.column("node").to_numpy(), piece.column("hashes")
+        prints = np.stack([piece.column(f"f{i}").to_numpy() for i in range(NEAR_LANES)], axis=1).view(np.uint64)
         a, b = [], []
         for k, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            for i, j in alike(hashes.slice(k, end - k).to_pylist()) if end - k > 1 else ():
+            for i, j in alike(hashes.slice(k, end - k).to_pylist(), prints[k:end]) if end - k > 1 else ():
                 a.append(node[k + i])
                 b.append(node[k + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, block: int = NEAR_BLOCK) -> DataFrame:
-    """(key, group) for every row whose text is near that of another; group is the smallest key reachable.
+def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, block: int = NEAR_BLOCK, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): rows (key, same) for every row, same being a digest of its shingles; labels (same, n, node, group) for
+    every distinct set, with its rows, the smallest key of them, and the smallest key that near sets reach.
 
     Two texts are near if NEAR of their distinct shingles are common, which is counted for all that share a band of a
-    MinHash signature, within the units. Buckets of equal members are one. Equal sets are one node; texts without words
-    are near each other. Keys must be distinct and not null.
+    MinHash signature (exact: that share one of their first shingles by hash, which leaves out no pair) and whose SimHash
+    chains stay within their budgets. Equal sets are one node; texts without words are near each other. Buckets of equal
+    members are one. Keys must be distinct and not null.
     """
-    rows = cut(shingle_sets(docs, key, text, size))
-    folded = cut(rows.groupBy("same").agg(F.min("key").alias("node"), F.first("bands").alias("bands"), F.max(F.octet_length("hashes")).alias("bytes")))
+    rows = cut(shingle_sets(docs, key, text, size, exact))
+    folded = cut(rows.groupBy("same").agg(F.min("key").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.max(F.octet_length("hashes")).alias("bytes")))
     keys = folded.select("node", "bytes", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
-    sizes = sizes.groupBy("n", "bytes", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("bytes") / block).cast("int").alias("nb"))
+    sizes = cut(sizes.groupBy("n", "bytes", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("bytes") / block).cast("int").alias("nb")))
     dealt = in_blocks(keys.select("node", "bucket"), sizes)
-    sets = dealt.join(rows.select(F.col("key").alias("node"), "hashes"), "node")
-    keyed = sets.select("bucket", "lo", "hi", "node", "hashes").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    edges = keyed.mapInArrow(near_edges, "a long, b long").distinct()
-    comp = components(edges)
-    nodes = rows.select("key", "same").join(folded.select("same", "node"), "same").select("key", "node")
-    many = nodes.groupBy("node").agg(F.count("*").alias("n"))
-    found = many.join(comp, "node", "left").filter("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("group"))
-    return nodes.join(found, "node").select(F.col("key").alias(key), "group")
+    names = [f"f{i}" for i in range(NEAR_LANES)]
+    sets = dealt.join(rows.select(F.col("key").alias("node"), "hashes", *names), "node")
+    keyed = sets.select("bucket", "lo", "hi", "node", "hashes", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    comp = components(keyed.mapInArrow(near_edges, "a long, b long").distinct())
+    labels = folded.select("same", "n", "node").join(comp, "node", "left").select("same", "n", "node", F.coalesce("component", "node").alias("group"))
+    return rows.select("key", "same"), labels
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, block: int = NEAR_BLOCK, exact: bool = False) -> DataFrame:
+    """(key, group) for every row whose text is near that of another; group is the smallest key reachable. See near_labels."""
+    rows, labels = near_labels(docs, key, text, size, block, exact)
+    labels = cut(labels)
+    groups = cut(labels.groupBy("group").agg(F.sum("n").alias("members"), F.count("*").alias("sets")))
+    total = groups.agg(F.sum("members")).first()[0] or 0
+    many = cut(keyed_join(labels, groups.filter("members > 1"), ["group"], "sets", total).select("same", "n", "group"))
+    return keyed_join(rows, many, ["same"], "n", total).select(F.col("key").alias(key), "group")
 
 
-def keep_one(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, order: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest ``order`` (nulls last), then the first read.
 
-    Rows are named by their place in ``docs``, which must read alike each time, as a table does.
+    Rows are named by their place in ``docs``, which must read alike each time, as a table does. Of equal sets of shingles
+    one row is chosen first, by a grouped minimum, so no row is joined by a key that others share.
     """
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_groups(placed, "_row", text)
-    member = placed.select("_row", F.col(order).alias("_order")).join(groups, "_row")
-    first = member.groupBy("group").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "_row"))["_row"].alias("_row"))
-    gone = cut(groups.join(first, "_row", "left_anti").select("_row"))
-    return placed.join(gone, "_row", "left_anti").drop("_row")
+    rows, labels = near_labels(placed, "_row", text, exact=exact)
+    rank = F.struct(F.col("_order").isNull().alias("null"), "_order", "_row")
+    known = placed.select("_row", F.col(order).alias("_order")).join(rows.withColumnRenamed("key", "_row"), "_row")
+    best = known.groupBy("same").agg(F.min(rank).alias("best"))
+    kept = cut(labels.select("same", "group").join(best, "same").groupBy("group").agg(F.min("best")["_row"].alias("_row")).select("_row"))
+    return placed.join(kept, "_row", "left_semi").drop("_row")

@@ -3,17 +3,19 @@
 Rows are dealt to shards of bounded size by a hash of their id, so copies of one vector spread over all shards; in a
 shard, equal vectors are one graph node that lists its ids. A node's neighbours are stored as flat arrays: layer 0 in
 one (n, 2m) block, upper layers in one (n, m) block each, -1 for none. The index is a table with a row for each shard.
-Queries go through every shard in blocks, each block keeps the k nearest, and a ranked window merges the shards.
+Queries go through every shard in blocks, each block keeps the k nearest, and a ranked window merges the shards. A shard
+by hash says nothing of where its vectors lie, so each must be asked; what is shipped is a copy of the index for every
+QUERIES queries, in the smallest number type that is exact.
 
 Null, zero, and non-finite vectors take no part, neither do null ids; vectors of another length are searched apart. Ties go to the
-smaller id. Distances are computed in double precision on the original vectors. Empty tables give an empty result.
+smaller id. Distances are computed in double precision on the original vectors, infinite where a square passes its range.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,11 @@ from collatium.llm import vectors
 from collatium.llm.common import cut, top_rows
 
 #: Rows of a shard, links of a node, breadth of building and of searching, queries of a block.
-SHARD, LINKS, BUILD, SEARCH, QUERIES = 4096, 12, 48, 96, 512
+SHARD, LINKS, BUILD, SEARCH, QUERIES = 4096, 12, 48, 96, 4096
+
+
+#: Partitions that the pairs of shards and query blocks are dealt to at most.
+TASKS = 100_000
 
 
 class Graph:
@@ -115,9 +121,7 @@ class Graph:
 
 def index(rows: DataFrame, shard: int = SHARD, m: int = LINKS, breadth: int = BUILD) -> DataFrame:
     """A row for each shard: dim, shard, ids, first (node offsets into ids), xs (distinct vectors), links (flat), widths, entry."""
-    sizes = vectors.counted(rows)
-    parts = reduce(lambda c, d: F.when(F.col("dim") == d, -(-sizes[d] // shard)).otherwise(c), sizes, F.lit(1))
-    packed = vectors.pack(rows.withColumn("shard", F.pmod(F.xxhash64("id"), parts).cast("int")), ["dim", "shard"])
+    packed = vectors.pack(vectors.dealt(rows, shard, "shard"), ["dim", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,30 +135,29 @@ def index(rows: DataFrame, shard: int = SHARD, m: int = LINKS, breadth: int = BU
                 g = Graph.build(x, m, breadth)
                 one = {
                     "dim": [row["dim"]], "shard": [row["shard"]], "ids": [np.concatenate(spans).tobytes()], "first": [np.cumsum([0, *map(len, spans)]).astype(np.int64).tobytes()],
-                    "xs": [x.tobytes()], "links": [b"".join(a.tobytes() for a in g.layers)], "widths": [[a.shape[1] for a in g.layers]], "entry": [g.entry],
+                    "xs": [vectors.narrow(x.ravel())], "links": [b"".join(a.tobytes() for a in g.layers)], "widths": [[a.shape[1] for a in g.layers]], "entry": [g.entry],
                 }
                 yield pa.RecordBatch.from_pydict(one, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("first", pa.binary()), ("xs", pa.binary()), ("links", pa.binary()), ("widths", pa.list_(pa.int32())), ("entry", pa.int32())]))
 
     return packed.mapInArrow(run, "dim int, shard int, ids binary, first binary, xs binary, links binary, widths array<int>, entry int")
 
 
-def nearest(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", breadth: int = SEARCH) -> DataFrame:
+def nearest(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", breadth: int = SEARCH, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k nearest of all other rows. queries: a condition on the column ``id``."""
     rows = vectors.clean(table, key, vector, zero_ok=False)
-    built = cut(index(rows))
-    asked = rows.filter(queries)
-    blocks = vectors.counted(asked)
-    parts = reduce(lambda c, d: F.when(F.col("dim") == d, -(-blocks[d] // QUERIES)).otherwise(c), blocks, F.lit(1))
-    packed = cut(vectors.pack(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int")), ["dim", "block"]))
-    # a stated query set against every shard, block by block
-    pairs = built.join(packed.select(F.col("dim"), "block", F.col("ids").alias("qids"), F.col("vs").alias("qvs")), "dim").repartition("dim", "shard", "block")
+    built = cut(index(rows, shard))
+    packed = cut(vectors.pack(vectors.dealt(rows.filter(queries), QUERIES, "block", 1), ["dim", "block"]))
+    # a stated query set against every shard, block by block, each pair a task of its own
+    pairs = built.join(packed.select(F.col("dim"), "block", F.col("ids").alias("qids"), F.col("vs").alias("qvs")), "dim")
+    tasks = built.select("dim").join(packed.select("dim"), "dim").count()
+    pairs = pairs.repartition(max(1, min(tasks, TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids, first, d = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64), row["dim"]
-                x = np.frombuffer(row["xs"]).reshape(-1, d)
+                x = vectors.wide(row["xs"]).reshape(-1, d)
                 layers, flat, at = [], np.frombuffer(row["links"], np.int32), 0
                 for w in row["widths"]:
                     layers.append(flat[at : at + w * len(x)].reshape(len(x), w))

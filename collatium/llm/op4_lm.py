@@ -1,16 +1,18 @@
 """Stupid-backoff scores of documents, computed relationally.
 
 S(w | context) is c(context w) / c(context) where the n-gram occurs, else 0.4 times the score with a shorter context, at
-last c(w) / N. Counts are those of the whole corpus without the document itself, so a text can't vouch for itself; a
-word found nowhere else scores 0.4 / N.
-
-Texts are cut into blocks of whole documents. Each block names its distinct n-grams by 64-bit hashes, with how often it
-has them. The names are partitioned by hash: a part sums the counts of its n-grams over all blocks, which is its share
-of the count table, and joins them to the blocks' n-grams; a part's answer to a block is an array in the same order.
-Blocks and their answers meet by block, and are summed per document. A common n-gram comes once from each block, and
-block and part sizes are bounded by constants, so no key is hot.
-
-A null or wordless text has no tokens and a null score. Repeated keys are scored row by row, each as a document of its
+last c(w) / N. Two scores come from one pass: log_score with the counts of the whole corpus, and held_out_score with
+those of the corpus without the document itself, so that a text can't vouch for itself; there a word found nowhere else
+scores 0.4 / N.
+
+Texts are packed into blocks of whole documents: their distinct words by 64-bit hash, and the words' places. A block
+names its distinct n-grams by hash, with how often it has them; these are the exploded n-grams, and they are partitioned
+by hash. A part sums the counts of its n-grams over all blocks, which is its share of the count table, and joins them to
+the blocks' n-grams; its answer to a block is an array in the same order. Blocks and their answers meet by block, and are
+summed per document. A common n-gram comes once from each block, and block and part sizes are bounded by constants, so no
+key is hot. A part without an n-gram of a block sends it no row, so rows never outnumber the blocks' distinct n-grams.
+
+A null or wordless text has no tokens and null scores. Repeated keys are scored row by row, each as a document of its
 own: a copy is evidence for its original. An empty table gives an empty result.
 """
 
@@ -20,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collatium.llm.common import cut
+
 #: Longest n-gram, backoff factor, bytes of a block's texts (a longer text is a block of its own), bytes of text for a part.
 ORDER, BACKOFF, BLOCK, PART = 3, 0.4, 12 << 20, 12 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,30 +89,51 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return c
 
 
-def block_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, key, text): consecutive rows of a partition, BLOCK bytes together."""
+def packed_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(block, keys, sizes, words, places, width, tokens): consecutive rows of a partition, BLOCK bytes of text together.
+
+    words: the block's distinct words, packed; places: for every token its word's rank, in ``width`` bytes; sizes: tokens
+    of each row. The table is written, so that a block is the same at each of its uses.
+    """
+    kind = docs.select(F.col(key).alias("key")).schema["key"].dataType
+    column = pa.list_(_arrow_type(kind))
+
+    def emit(block: int, keys: list, each: list[np.ndarray]) -> pa.RecordBatch:
+        names, places = np.unique(np.concatenate(each), return_inverse=True)
+        width = 2 if len(names) <= 1 << 16 else 4
+        cols = [pa.array([block], pa.int64()), pa.array([keys], column), pa.array([np.array([len(e) for e in each], np.int64).tobytes()], pa.binary()), pa.array([pack_hashes(names)], pa.binary())]
+        cols += [pa.array([places.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([len(places)], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "keys", "sizes", "words", "places", "width", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, block, size = TaskContext.get().partitionId() << 32, 0, 0
+        block, size, keys, each = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            names = []
-            for n in pc.binary_length(batch.column("text")).to_pylist():
-                if size and size + n > BLOCK:
-                    block, size = block + 1, 0
-                size += n
-                names.append(base + block)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *batch.columns], names=["block", "key", "text"])
+            for name, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                t = value.as_py()
+                if each and size + len(t) > BLOCK:
+                    yield emit(block, keys, each)
+                    block, size, keys, each = block + 1, 0, [], []
+                keys.append(name)
+                each.append(word_hashes(t))
+                size += len(t)
+        if each:
+            yield emit(block, keys, each)
+
+    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return cut(slim.mapInArrow(run, f"block long, keys array<{kind.simpleString()}>, sizes binary, words binary, places binary, width int, tokens long"))
 
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"block long, key {dict(docs.dtypes)[key]}, text string")
 
+def _arrow_type(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    each = [word_hashes(t) for t in texts]
-    return np.concatenate(each) if each else np.empty(0, np.uint64), np.repeat(np.arange(len(each)), [len(e) for e in each])
+    return to_arrow_type(kind)
 
 
-def _mark(words: np.ndarray) -> int:
-    return int(words.sum(dtype=np.uint64).astype(np.int64))
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a block's tokens, and each token's row."""
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    places = np.frombuffer(row["places"], f"<u{row['width']}")
+    return unpack_hashes(row["words"])[places], np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -117,98 +141,113 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, n, block, hashes, counts, size, mark): each block's distinct n-grams, divided by hash. mark: a sum over the block's words, by which a second reading is known to be the same."""
-
-    def emit(block: int, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        words, of = _block(texts)
-        rows: list[tuple] = []
-        for n, (h, _) in enumerate(ngrams(words, of, order), 1):
-            names, counts = np.unique(h, return_counts=True)
-            ends = np.searchsorted(_part_of(names, parts), np.arange(parts + 1))
-            rows += [(p, n, block, pack_hashes(names[a:b]), pack_counts(counts[a:b]), b - a, _mark(words)) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a or n == 1]
-        for i in range(0, len(rows), 64):
-            cols = list(zip(*rows[i : i + 64], strict=True))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "n", "block", "hashes", "counts", "size", "mark"])
+    """(part, n, block, hashes, counts, size): each block's distinct n-grams, divided by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts = None, []
         for batch in batches:
-            for b, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                if b != block and texts:
-                    yield from emit(block, texts)
-                    texts = []
-                block = b
-                texts.append(t.as_py())
-        if texts:
-            yield from emit(block, texts)
-
-    return blocks.mapInArrow(run, "part int, n int, block long, hashes binary, counts binary, size long, mark long")
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                words, of = unpacked(row)
+                for n, (h, _) in enumerate(ngrams(words, of, order), 1):
+                    names, counts = np.unique(h, return_counts=True)
+                    part = _part_of(names, parts)
+                    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(names) else np.empty(0, np.int64)
+                    for at in range(0, len(first), 64):
+                        a = first[at : at + 64]
+                        b = np.append(first[at + 1 : at + 64], first[at + 64] if at + 64 < len(first) else len(names))
+                        k, spans = len(a), list(zip(a.tolist(), b.tolist(), strict=True))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(part[a].astype(np.int32)), pa.array([n] * k, pa.int32()), pa.array([row["block"]] * k, pa.int64()), pa.array([pack_hashes(names[x:y]) for x, y in spans], pa.binary()), pa.array([pack_counts(counts[x:y]) for x, y in spans], pa.binary()), pa.array(b - a)],
+                            names=["part", "n", "block", "hashes", "counts", "size"],
+                        )
+
+    return blocks.select("block", "sizes", "words", "places", "width").mapInArrow(run, "part int, n int, block long, hashes binary, counts binary, size long")
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """All requests of one (part, n), with the counts over all blocks, and the part's total."""
-    blocks, sizes = table.column("block").to_pylist(), table.column("size").to_numpy()
+    """All requests of one (part, n), with the counts over all blocks."""
+    sizes = table.column("size").to_numpy()
     h = np.concatenate([unpack_hashes(x.as_py()) for x in table.column("hashes")])
     c = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes.tolist(), strict=True)])
     _, back = np.unique(h, return_inverse=True)
-    sums = np.bincount(back, weights=c).astype(np.int64) if len(h) else np.empty(0, np.int64)
+    sums = np.bincount(back, weights=c).astype(np.int64)[back]
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    out = [pack_counts(sums[back[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    k = len(blocks)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([table.column("part")[0].as_py()] * k, pa.int32()), "n": pa.array([table.column("n")[0].as_py()] * k, pa.int32()), "found": pa.array(out, pa.binary()), "size": pa.array(sizes, pa.int64()), "total": pa.array([int(c.sum())] * k, pa.int64()), "mark": table.column("mark").combine_chunks()})
+    out = [pack_counts(sums[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "n": table.column("n"), "found": pa.array(out, pa.binary()), "size": table.column("size")})
+
 
+def scored(words: np.ndarray, of: np.ndarray, known: list[np.ndarray], total: int, docs: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of log-scores of each document: with all counts, and without the document's own.
 
-def scored(words: np.ndarray, of: np.ndarray, known: list[np.ndarray], total: int, docs: int, order: int, backoff: float) -> np.ndarray:
-    """Sum of log-scores of each document. known: for n = 1 .. order, corpus counts of the block's distinct n-grams, ascending by hash."""
+    known: for n = 1, 2 .., corpus counts of the block's distinct n-grams, ascending by hash.
+    """
     own = np.bincount(of, minlength=docs)[of]
-    rest = np.maximum(1, total - own).astype(float)
-    counts = []
-    for n, (h, at) in enumerate(ngrams(words, of, order)):
+    full, rest = [], []
+    for n, (h, at) in enumerate(ngrams(words, of, len(known))):
         _, back = np.unique(h, return_inverse=True)
         # what the document itself has of the n-gram
-        pairs, mine, have = np.unique(back.astype(np.int64) * docs + of[at], return_inverse=True, return_counts=True)
-        full = np.zeros(len(words), dtype=np.int64)
-        full[at] = known[n][back] - have[mine]
-        counts.append(full)
-    value = np.where(counts[0] > 0, counts[0], backoff) / rest
-    logs = np.log(value)
-    for n in range(1, order):
-        hit = np.flatnonzero(counts[n] > 0)
-        logs = logs + np.log(backoff)
-        logs[hit] = np.log(counts[n][hit] / counts[n - 1][hit - 1])
-        # positions without so long a context keep their shorter score
-        short = np.ones(len(words), dtype=bool)
-        short[ngrams_at(of, n + 1)] = False
-        logs[short] -= np.log(backoff)
-    return np.bincount(of, weights=logs, minlength=docs)
-
-
-def ngrams_at(of: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(n - 1, len(of))
-    return at[of[at] == of[at - n + 1]]
+        _, mine, have = np.unique(back.astype(np.int64) * docs + of[at], return_inverse=True, return_counts=True)
+        for counts, value in ((full, known[n][back]), (rest, known[n][back] - have[mine])):
+            counts.append(np.zeros(len(words), dtype=np.int64))
+            counts[-1][at] = value
+
+    def logs(counts: list[np.ndarray], size: np.ndarray | float) -> np.ndarray:
+        out = np.log(np.where(counts[0] > 0, counts[0], backoff) / np.maximum(1, size))
+        for n in range(1, len(counts)):
+            at = np.arange(n, len(of))
+            at = at[of[at] == of[at - n]]  # positions without so long a context keep their shorter score
+            out[at] += np.log(backoff)
+            hit = at[counts[n][at] > 0]
+            out[hit] = np.log(counts[n][hit] / counts[n - 1][hit - 1])
+        return np.bincount(of, weights=out, minlength=docs)
+
+    return logs(full, float(total)), logs(rest, total - own)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
-    """(key, n_tokens, log_score, mean_score) for every row; logarithms are natural and rounded to six places."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    parts = 1 + size // PART
-    blocks = block_rows(docs, key, text)
-    asked = requests(blocks, order, parts)
-    answers = asked.groupBy("part", "n").applyInArrow(answer, "block long, part int, n int, found binary, size long, total long, mark long")
+    """(key, n_tokens, log_score, mean_score, held_out_score) for every row; logarithms are natural and rounded to six places."""
+    blocks = packed_blocks(docs, key, text)
+    size, total = (x or 0 for x in (docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0], blocks.agg(F.sum("tokens")).first()[0]))
+    asked = requests(blocks, order, 1 + size // PART)
+    answers = asked.groupBy("part", "n").applyInArrow(answer, "block long, part int, n int, found binary, size long")
     kind = dict(docs.dtypes)[key]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        words, of = _block(texts)
-        got = sorted(right.select(["n", "part", "found", "size", "total", "mark"]).to_pylist(), key=lambda r: (r["n"], r["part"]))
-        if {r["mark"] for r in got} != {_mark(words)}:
-            raise RuntimeError("a block has changed between its two readings: the input's partitions aren't repeatable")
-        total = sum(r["total"] for r in got if r["n"] == 1)
+        row = left.slice(0, 1).to_pylist()[0]
+        words, of = unpacked(row)
+        got = sorted(right.select(["n", "part", "found", "size"]).to_pylist(), key=lambda r: (r["n"], r["part"]))
         known = [np.concatenate([unpack_counts(r["found"], r["size"]) for r in got if r["n"] == n] or [np.empty(0, np.int64)]) for n in range(1, order + 1)]
-        logs = scored(words, of, known, total, len(texts), order, backoff)
-        n = np.bincount(of, minlength=len(texts))
-        return pa.table({"key": left.column("key"), "n": pa.array(n, pa.int64()), "s": pa.array(np.round(logs, 6), mask=n == 0), "m": pa.array(np.round(logs / np.maximum(n, 1), 6), mask=n == 0)})
-
-    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"key {kind}, n long, s double, m double")
-    return met.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), F.col("s").alias("log_score"), F.col("m").alias("mean_score"))
+        docs_ = len(row["keys"])
+        plain, held = scored(words, of, known, total, docs_, backoff)
+        n = np.bincount(of, minlength=docs_)
+        value = lambda x: pa.array(np.round(x, 6), mask=n == 0)
+        return pa.table({"key": left.column("keys").combine_chunks().flatten(), "n": pa.array(n, pa.int64()), "s": value(plain), "m": value(plain / np.maximum(n, 1)), "h": value(held)})
+
+    met = blocks.drop("tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"key {kind}, n long, s double, m double, h double")
+    return met.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), F.col("s").alias("log_score"), F.col("m").alias("mean_score"), F.col("h").alias("held_out_score"))
+
+
+def oracle(backoff: float = BACKOFF) -> str:
+    """DuckDB SQL of the registered query: count tables of one, two and three words, joined to every word's n-grams."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[^ \t-\r]+')"
+    by = "PARTITION BY doc_id ORDER BY i"
+    cascade = lambda c, n, size: f"""ln(CASE WHEN c IS NOT NULL AND {c}3 > 0 THEN {c}3 / {n}2 WHEN b IS NOT NULL AND {c}2 > 0 THEN pow({backoff}, CAST(c IS NOT NULL AS INTEGER)) * {c}2 / {n}1
+      ELSE pow({backoff}, CAST(c IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER)) * (CASE WHEN {c}1 > 0 THEN {c}1 ELSE {backoff} END) / greatest({size}, 1) END)"""
+    return f"""
+WITH t AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {words} AS w FROM documents)),
+g AS (SELECT doc_id, i, a, lag(a) OVER ({by}) AS b, lag(a, 2) OVER ({by}) AS c FROM t),
+k1 AS (SELECT a, count(*) AS n FROM g GROUP BY ALL), k2 AS (SELECT b, a, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+k3 AS (SELECT c, b, a, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY ALL),
+o1 AS (SELECT doc_id, a, count(*) AS n FROM g GROUP BY ALL), o2 AS (SELECT doc_id, b, a, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+o3 AS (SELECT doc_id, c, b, a, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY ALL),
+z AS (SELECT count(*) AS total FROM t), s AS (SELECT doc_id, count(*) AS own FROM t GROUP BY doc_id),
+x AS (
+  SELECT g.doc_id, g.b, g.c, total, own, k1.n AS f1, k2.n AS f2, k3.n AS f3, p1.n AS p1, p2.n AS p2,
+    k1.n - o1.n AS h1, k2.n - o2.n AS h2, k3.n - o3.n AS h3, p1.n - q1.n AS r1, p2.n - q2.n AS r2
+  FROM g CROSS JOIN z JOIN s USING (doc_id) JOIN k1 USING (a) JOIN o1 ON o1.doc_id = g.doc_id AND o1.a = g.a
+  LEFT JOIN k2 ON k2.b = g.b AND k2.a = g.a LEFT JOIN o2 ON o2.doc_id = g.doc_id AND o2.b = g.b AND o2.a = g.a
+  LEFT JOIN k3 ON k3.c = g.c AND k3.b = g.b AND k3.a = g.a LEFT JOIN o3 ON o3.doc_id = g.doc_id AND o3.c = g.c AND o3.b = g.b AND o3.a = g.a
+  LEFT JOIN k1 p1 ON p1.a = g.b LEFT JOIN o1 q1 ON q1.doc_id = g.doc_id AND q1.a = g.b
+  LEFT JOIN k2 p2 ON p2.b = g.c AND p2.a = g.b LEFT JOIN o2 q2 ON q2.doc_id = g.doc_id AND q2.b = g.c AND q2.a = g.b
+), v AS (SELECT doc_id, count(*) AS n, sum({cascade('f', 'p', 'total')}) AS s, sum({cascade('h', 'r', 'total - own')}) AS h FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(s, 3) AS log_score, round(s / n, 3) AS mean_score, round(h, 3) AS held_out_score FROM documents LEFT JOIN v USING (doc_id)"""

@@ -7,8 +7,9 @@ text-only decisions over all rows. One more hypothesis, 'und', stands for text i
 
 The trigram models are fitted on at most TRAIN rows, picked by a hash of the text's id, whose declared language is one
 of ``languages``; everything else covers all rows. A null text counts as empty; a row without evidence gets its host's
-prior. A text without a letter is 'und'. A null or unknown declaration and a null host say nothing. Repeated rows are
-judged alike; ties go to the earlier language; an empty table gives an empty result.
+prior. A text without a letter is 'und'. A null or unknown declaration and a null or empty host say nothing: such a row
+neither adds to a prior nor gets one. Repeated rows are judged alike; ties go to the earlier language; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import matched
+from collatium.llm.common import cut, keyed_join
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -29,7 +30,8 @@ UNKNOWN = "und"
 TRAIN, BUCKETS, WEIGHT = 4000, 1 << 14, 60
 #: Chance that a declaration or a national suffix is right, prior of 'und', rows that a smoothing step counts for.
 DECLARED, SUFFIX, ODD, STRENGTH = 0.9, 0.7, 0.01, 20.0
-#: National address suffixes: fixed values.
+#: Second-level names below which national registries assign domains, and national address suffixes: fixed values.
+SECOND = ("co", "com", "org", "net", "ac", "gov", "edu")
 NATIONAL = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "co": "es", "fr": "fr"}
 PIECE = 1 << 20
 
@@ -106,19 +108,28 @@ def _logs(values: list[Column]) -> Column:
     return F.array(*[F.log(v) for v in values])
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host, or three where the second last is a registry's (a.co.uk)."""
+    labels = F.split(host, "\\.")
+    deep = (F.size(labels) > 2) & F.element_at(labels, -2).isin(*SECOND) & (F.length(F.element_at(labels, -1)) == 2)
+    keep = F.least(F.when(deep, 3).otherwise(2), F.size(labels))
+    return F.array_join(F.slice(labels, -keep, keep), ".")
+
+
 def host_priors(votes: DataFrame, n: int) -> DataFrame:
-    """(_host, _prior array<double>) from votes (_host, _domain, _best int): log-probabilities of n languages.
+    """(_host, _prior array<double>, _rows) from votes (_host, _domain, _best int or null): log-probabilities of n languages.
 
     Counts are partial aggregates, so a host with a third of all rows is no larger than any other.
     """
     tally = [F.sum(F.when(F.col("_best") == i, 1.0).otherwise(0.0)).alias(f"c{i}") for i in range(n)]
-    hosts = votes.groupBy("_host", "_domain").agg(*tally)
-    domains = hosts.groupBy("_domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(n)])
-    whole = domains.agg(*[F.sum(f"d{i}").alias(f"w{i}") for i in range(n)]).first()
-    base = [((whole[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + n) for i in range(n)]
+    hosts = cut(votes.groupBy("_host", "_domain").agg(*tally, F.count("*").alias("_rows")))
+    domains = cut(hosts.groupBy("_domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(n)], F.count("*").alias("_hosts")))
+    *sums, count = domains.agg(*[F.sum(f"d{i}") for i in range(n)], F.sum("_hosts")).first()
+    base = [((x or 0.0) + 1.0) / (sum(x or 0.0 for x in sums) + n) for x in sums]
     over = lambda c: sum((F.col(f"{c}{i}") for i in range(1, n)), F.col(f"{c}0"))
-    domains = domains.select("_domain", *[((F.col(f"d{i}") + STRENGTH * base[i]) / (over("d") + STRENGTH)).alias(f"p{i}") for i in range(n)])
-    return hosts.join(domains, "_domain").select("_host", _logs([(F.col(f"c{i}") + STRENGTH * F.col(f"p{i}")) / (over("c") + STRENGTH) for i in range(n)]).alias("_prior"))
+    domains = domains.select("_domain", "_hosts", *[((F.col(f"d{i}") + STRENGTH * base[i]) / (over("d") + STRENGTH)).alias(f"p{i}") for i in range(n)])
+    known = keyed_join(hosts, domains, ["_domain"], "_hosts", count or 0)
+    return known.select("_host", "_rows", _logs([(F.col(f"c{i}") + STRENGTH * F.col(f"p{i}")) / (over("c") + STRENGTH) for i in range(n)]).alias("_prior"))
 
 
 def identify(docs: DataFrame, model: Model, text: str, declared: Column, host: Column, hold=None) -> DataFrame:
@@ -129,19 +140,19 @@ def identify(docs: DataFrame, model: Model, text: str, declared: Column, host: C
     computed again for the second use; it may drop columns. accepted: the most probable hypothesis is a language, not 'und'.
     """
     n = len(model.languages)
-    rows = docs.withColumns({"_declared": F.substring(F.lower(declared), 1, 2), "_host": F.lower(F.coalesce(host, F.lit("")))})
+    rows = docs.withColumns({"_declared": F.substring(F.lower(declared), 1, 2), "_host": F.nullif(F.lower(host), F.lit(""))})
     rows = with_likelihoods(rows, model, text)
     rows = hold(rows) if hold else rows
     names = [c for c in rows.columns if c in docs.columns]
-    labels = F.split("_host", "\\.")
-    domain = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("_host"))
-    top = F.array_max("_ll")
-    votes = rows.filter(F.exists("_ll", lambda x: x != 0)).select("_host", domain.alias("_domain"), (F.array_position("_ll", top) - 1).cast("int").alias("_best"))
-    priors = host_priors(votes, n)
+    best = F.when(F.exists("_ll", lambda x: x != 0), F.array_position("_ll", F.array_max("_ll")) - 1).cast("int")
+    votes = rows.filter("_host is not null").select("_host", domain_of(F.col("_host")).alias("_domain"), best.alias("_best"))
+    priors = cut(host_priors(votes, n))
+    total = priors.agg(F.sum("_rows")).first()[0] or 0
     even = F.lit(float(-np.log(n)))
-    suffix = F.element_at(F.create_map(*[F.lit(x) for pair in NATIONAL.items() for x in pair]), F.element_at(labels, -1))
+    suffix = F.element_at(F.create_map(*[F.lit(x) for pair in NATIONAL.items() for x in pair]), F.element_at(F.split("_host", "\\."), -1))
     said = lambda col, lang, right: F.when(col == lang, float(np.log(right))).when(col.isin(*model.languages), float(np.log((1 - right) / max(1, n - 1)))).otherwise(0.0)
-    rows = matched(rows, priors, "_host")
+    # rows without a host share no key: they stay where they are
+    rows = keyed_join(rows.filter("_host is not null"), priors, ["_host"], "_rows", total).unionByName(rows.filter("_host is null"), allowMissingColumns=True)
     scores = [F.col("_ll")[i] + said(F.col("_declared"), lang, DECLARED) + said(suffix, lang, SUFFIX) + F.coalesce(F.col("_prior")[i], even) for i, lang in enumerate(model.languages)]
     scores.append(F.col("_ll")[n] + F.lit(float(np.log(ODD))))
     rows = rows.withColumn("_score", F.array(*scores)).withColumn("_top", F.array_max("_score"))

@@ -6,11 +6,12 @@ pivot and its distance to it; a pivot's points, sorted by distance, are cut into
 triangle inequality no point of an annulus [lo, hi] is nearer to q' than max(0, lo - |q' - p|, |q' - p| - hi). A search
 expands from the annulus that holds the query's own distance and stops where that bound rules out the k-th best.
 
-A bounded sample (SEEDS rows by hash) comes to the driver: its first rows are the pivots, and each query's k-th best
+A bounded sample (SEEDS rows by hash, fewer of each where vectors have many lengths) comes to the driver: its first rows are the pivots, and each query's k-th best
 product with the sample is where its bound starts; neither affects the result. A pivot that owns a third of all rows
 has more annuli, no larger ones: rows are dealt to them by a sort over all partitions, and a search task gets SPAN at most.
-Null vectors, null ids and vectors with null or non-finite components take no part; zero vectors do. Ties go to the
-smaller id. Products are computed in integers; where they could pass 2^62, in Python's unbounded ones, and a product
+Null or empty vectors, null ids and vectors with components that are null or not finite (also once scaled) take no part;
+zero vectors do. Vectors of different lengths are never paired. Where squares pass a double's range no bound is finite,
+and every annulus is read whole. Ties go to the smaller id. Products are computed in integers; where they could pass 2^62, in Python's unbounded ones, and a product
 beyond a long's range is returned as the nearest long. An empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from collatium.llm import vectors
 from collatium.llm.common import cut, runs, top_rows
 
 #: Sampled rows and pivots of a vector length, rows of an annulus, annuli of a task, queries of a block.
-SEEDS, PIVOTS, BLOCK, SPAN, QUERIES = 1024, 48, 2048, 8, 512
+SEEDS, PIVOTS, BLOCK, SPAN, QUERIES = 1024, 48, 2048, 8, 2048
 LONG = (1 << 63) - 1
 
 
@@ -60,17 +61,19 @@ def quantise(rows: DataFrame, scale: float) -> DataFrame:
             whole = pa.ListArray.from_arrays(v.offsets, pa.array(np.floor(scale * v.values.to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), whole, batch.column("dim")], names=["id", "v", "dim"])
 
-    return rows.select("id", "v", "dim").mapInArrow(run, "id long, v array<double>, dim int")
+    fit = rows.filter(F.forall("v", lambda x: F.abs(x * scale) < float("inf")))
+    return fit.select("id", "v", "dim").mapInArrow(run, "id long, v array<double>, dim int")
 
 
 def sampled(rows: DataFrame, seeds: int) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """For every vector length: ids and vectors of a bounded sample by hash, and M^2."""
-    norms = rows.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m2")).collect()
-    out = {}
-    for r in norms:
-        picked = rows.filter(F.col("dim") == r.dim).orderBy(F.xxhash64("id"), "id").limit(seeds).collect()
-        out[r.dim] = (np.array([p.id for p in picked], dtype=np.int64), np.array([p.v for p in picked]), r.m2)
-    return out
+    """For every vector length: ids and vectors of a bounded sample by hash, and M^2. Beyond 16 lengths they share 16 * seeds rows, 8 at least for each."""
+    norms = {r.dim: r.m2 for r in rows.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m2")).collect()}
+    each = min(seeds, max(8, 16 * seeds // max(1, len(norms))))
+    picked = top_rows(rows.withColumn("_h", F.xxhash64("id")), "dim", [F.asc("_h"), F.asc("id")], each).select("dim", "rank", "id", "v").collect()
+    of: dict[int, list] = {}
+    for r in sorted(picked, key=lambda r: (r.dim, r.rank)):
+        of.setdefault(r.dim, []).append(r)
+    return {d: (np.array([p.id for p in got], dtype=np.int64), np.array([p.v for p in got]), norms[d]) for d, got in of.items()}
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, annuli: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sample: tuple[np.ndarray, np.ndarray, float], pivots: int, k: int) -> Iterator[tuple[int, int, int]]:
@@ -133,7 +136,7 @@ def largest(table: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(far)], names=[*batch.schema.names, "pivot", "far"])
 
     points = cut(rows.mapInArrow(keyed, "id long, v array<double>, dim int, pivot int, far double"))
-    total = sum(vectors.counted(points).values())
+    total = points.count()
     # annuli are cut by a sort over all partitions, so that a hot pivot or distance fills many of them
     ordered = points.repartitionByRange(max(1, -(-total // (4 * block))), "dim", "pivot", "far", "id").sortWithinPartitions("dim", "pivot", "far", "id")
 
@@ -142,16 +145,13 @@ def largest(table: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
         for piece, at in runs(batches, ["dim", "pivot"]):
             for a, b in ((i, min(i + block, e)) for s, e in zip(at[:-1], at[1:], strict=True) for i in range(s, e, block)):
                 part = piece.slice(a, b - a)
-                arrays = [pa.array([x.to_numpy().tobytes()], pa.binary()) for x in (part.column("id"), part.column("v").flatten(), part.column("far"))]
+                arrays = [pa.array([x], pa.binary()) for x in (part.column("id").to_numpy().tobytes(), vectors.narrow(part.column("v").flatten().to_numpy()), part.column("far").to_numpy().tobytes())]
                 yield pa.RecordBatch.from_arrays([part.column("dim").slice(0, 1), part.column("pivot").slice(0, 1), *arrays, pa.array([made // SPAN], pa.int32())], names=["dim", "pivot", "ids", "vs", "fars", "span"])
                 made += 1
 
     index = cut(ordered.mapInArrow(annuli, "dim int, pivot int, ids binary, vs binary, fars binary, span int").withColumn("part", F.spark_partition_id()))
-    asked = points.filter(queries)
-    blocks = F.lit(1)
-    for d, n in vectors.counted(asked).items():
-        blocks = F.when(F.col("dim") == d, -(-n // QUERIES)).otherwise(blocks)
-    packed = cut(vectors.pack(asked.select("id", "v", "dim", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int").alias("block")), ["dim", "block"]))
+    asked = vectors.dealt(points.filter(queries).select("id", "v", "dim"), QUERIES, "block", 1)
+    packed = cut(vectors.pack(asked, ["dim", "block"]))
     # the stated query set against all rows, by blocks of queries and spans of annuli
     keys = ["dim", "block", "part", "span"]
     pairs = index.join(packed.select("dim", "block", F.col("ids").alias("qids"), F.col("vs").alias("qvs")), "dim").repartition(*keys).sortWithinPartitions(*keys, "pivot")

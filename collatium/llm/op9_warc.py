@@ -4,9 +4,9 @@ A revisit record that a server answered with 304 holds headers only. It is resol
 URL to the latest full response that is strictly earlier; its validators are checked against that response's (ETag by
 weak comparison, else Last-Modified), and the headers a 304 may update are merged over the stored ones.
 
-The join is sliced by time: the last response of each (URL, slice) is a grouped maximum, which a window over slices
-carries forward, and inside a slice another window looks back. One URL with a third of all rows thus spreads over its
-slices. Null URLs are canonical nulls and resolve to nothing; null times are neither matched nor resolved. Of responses
+Records are dealt by ranges of (URL, time), so that one URL with a third of all rows fills many ranges, whatever its
+times. The last response of each (URL, range) is a grouped maximum, which a window over ranges carries forward, and inside
+a range another window looks back: no task holds more of a URL than a range. Header lines without a name are left out. Null URLs are canonical nulls and resolve to nothing; null times are neither matched nor resolved. Of responses
 at one time the largest record_id counts. Repeated revisits each keep a row; an empty table gives an empty result.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collatium.llm.common import cut
+
 #: Fields that describe the stored body or the connection: a 304 does not change them.
 FIXED = ("content-length", "content-encoding", "content-range", "content-type", "transfer-encoding", "connection", "keep-alive", "te", "trailer", "upgrade", "proxy-authenticate", "proxy-authorization")
 URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
@@ -32,16 +34,17 @@ def canonical(url: Column) -> Column:
 def headers(block: Column) -> Column:
     """map<string,string> of a block of header lines: names in lower case, the last of repeated names counts."""
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), "\r?\n"), lambda x: F.instr(x, ":") > 1)
-    names = F.transform(lines, lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))))
-    last = F.filter(F.transform(lines, lambda x, i: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(names, e.i + 2, F.greatest(F.size(names), F.lit(1))), e.k))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e.k, e.v)))
+    parts = F.transform(lines, lambda x, i: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), i.alias("i"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    sorted_ = F.array_sort(parts)  # the last of a name stands before the next name
+    named = F.zip_with(sorted_, F.slice(sorted_, 2, F.greatest(F.size(sorted_), F.lit(1))), lambda e, after: F.struct(e["k"].alias("k"), e["v"].alias("v"), (after["k"].isNull() | (after["k"] != e["k"])).alias("last")))
+    return F.map_from_entries(F.transform(F.filter(named, lambda e: e["last"] & (e["k"] != "")), lambda e: F.struct(e["k"], e["v"])))
 
 
 def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """(record_id, canonical, ts, original_id, status, headers) for each revisit of ``records``.
 
     records: record_id long, url string, ts timestamp, type ('response' or 'revisit'; others are left out), block
@@ -49,9 +52,9 @@ def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     merged where resolved or unvalidated, else the revisit's own.
     """
     base = records.filter(F.col("type").isin("response", "revisit")).select("record_id", canonical(F.col("url")).alias("canonical"), "ts", "type", "block")
-    base = base.withColumn("slice", F.floor(F.unix_seconds("ts") / slice_seconds))
     seen = F.when(F.col("type") == "response", F.struct(F.col("record_id").alias("id"), F.col("block").alias("block")))
-    timed = base.filter("ts is not null and canonical is not null").withColumn("full", seen)
+    ranged = base.filter("ts is not null and canonical is not null").repartitionByRange("canonical", "ts", "type", "record_id")
+    timed = cut(ranged.withColumn("slice", F.spark_partition_id())).withColumn("full", seen)
     ends = timed.filter("full is not null").groupBy("canonical", "slice").agg(F.max_by("full", F.struct("ts", "record_id")).alias("end"))
     # every slice that has a revisit needs what earlier slices carry into it
     asked = timed.filter("type = 'revisit'").select("canonical", "slice").distinct()
@@ -77,17 +80,24 @@ def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Every page as a full response, and a later 304 revisit of it, as archive records."""
+    """Every page as a full response, and a 304 revisit of it, as archive records.
+
+    Most revisits are later and bear the response's validators; one in seven has an ETag of another version, and one in
+    eleven comes before the response.
+    """
+    n = F.col("page_id")
     tag = F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16)
+    said = F.when(n % 7 == 3, F.reverse(tag)).otherwise(tag)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
-    hour = F.col("page_id") * 3600
-    full = F.concat_ws("\r\n", line("Content-Type", F.lit("text/html")), line("Content-Length", F.length(F.coalesce("html", F.lit(""))).cast("string")), line("ETag", F.concat(F.lit('"'), tag, F.lit('"'))), line("Last-Modified", (hour % 86400).cast("string")), line("Cache-Control", F.lit("max-age=60")))
+    hour = n * 3600
+    full = F.concat_ws("\r\n", line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(F.coalesce("html", F.lit(""))).cast("string")), line("ETag", F.concat(F.lit('"'), tag, F.lit('"'))), line("Last-Modified", (hour % 86400).cast("string")), line("Cache-Control", F.lit("max-age=60")))
     again = F.concat_ws(
-        "\r\n", line("Content-Length", F.lit("0")), line("Cache-Control", F.concat(F.lit("max-age="), (F.col("page_id") % 600).cast("string"))), F.when(F.col("page_id") % 3 > 0, line("ETag", F.concat(F.lit('W/"'), tag, F.lit('"')))), F.when(F.col("page_id") % 5 > 0, line("Last-Modified", (hour % 86400).cast("string")))
+        "\r\n", line("Content-Length", F.lit("0")), line("Cache-Control", F.concat(F.lit("max-age="), (n % 600).cast("string"))), F.when(n % 3 > 0, line("ETag", F.concat(F.lit('W/"'), said, F.lit('"')))), F.when(n % 5 > 0, line("Last-Modified", (hour % 86400).cast("string")))
     )
     at = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
-    return pages.select((F.col("page_id") * 2).alias("record_id"), "url", at(hour).alias("ts"), F.lit("response").alias("type"), full.alias("block")).unionByName(
-        pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", at(hour + 1 + (F.col("page_id") % 97) * 7200).alias("ts"), F.lit("revisit").alias("type"), again.alias("block"))
+    later = F.when(n % 11 == 5, hour - 1).otherwise(hour + 1 + (n % 97) * 7200)
+    return pages.select((n * 2).alias("record_id"), "url", at(hour).alias("ts"), F.lit("response").alias("type"), full.alias("block")).unionByName(
+        pages.select((n * 2 + 1).alias("record_id"), "url", at(later).alias("ts"), F.lit("revisit").alias("type"), again.alias("block"))
     )
 
 
@@ -95,12 +105,12 @@ ORACLE = r"""
 WITH u AS (
   SELECT page_id, html, url, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?', ['s', 'h', 'o', 'p', 'q']) AS x FROM pages
 ), c AS (
-  SELECT page_id, '"' || substr(md5(html), 1, 16) || '"' AS tag, length(html) AS n, (page_id * 3600) % 86400 AS lm,
+  SELECT page_id, '"' || substr(md5(html), 1, 16) || '"' AS tag, strlen(html) AS n, (page_id * 3600) % 86400 AS lm,
     regexp_replace(lower(x.h), '^www\.', '') || CASE WHEN x.o IN ('', '80', '443') THEN '' ELSE ':' || x.o END || regexp_replace(x.p, '/+$', '')
     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(x.q, '&'), lambda y: y <> '' AND NOT starts_with(y, 'utm_'))), '&'), ''), '') AS canonical
   FROM u
 ), f AS (SELECT *, page_id * 3600 AS t FROM c),
-r AS (SELECT *, page_id * 3600 + 1 + (page_id % 97) * 7200 AS t FROM c),
+r AS (SELECT * REPLACE (CASE WHEN page_id % 7 = 3 THEN '"' || reverse(replace(tag, '"', '')) || '"' ELSE tag END AS tag), page_id * 3600 + CASE WHEN page_id % 11 = 5 THEN -1 ELSE 1 + (page_id % 97) * 7200 END AS t FROM c),
 j AS (SELECT r.page_id, r.canonical, r.t, r.tag, r.lm, f.page_id AS o, f.tag AS otag, f.lm AS olm, f.n AS n FROM r ASOF LEFT JOIN f ON r.canonical = f.canonical AND r.t > f.t),
 s AS (SELECT *, CASE WHEN o IS NULL THEN 'no-original' WHEN page_id % 3 > 0 THEN CASE WHEN tag = otag THEN 'resolved' ELSE 'mismatch' END
   WHEN page_id % 5 > 0 THEN CASE WHEN lm = olm THEN 'resolved' ELSE 'mismatch' END ELSE 'unvalidated' END AS status FROM j)

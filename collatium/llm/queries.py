@@ -28,7 +28,8 @@ def op3_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_lm.score(table(spark, sf_dir, "documents"))
+    found = op4_lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", *[F.round(c, 3).alias(c) for c in ("log_score", "mean_score", "held_out_score")])
 
 
 def op5_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +58,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
-    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return op7_urls.judge(pages, labelled)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return op7_urls.judge(pages, op7_urls.seeded(pages))
 
 
 def op8_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pivot_topk": OP6_SQL, "op7_url_rules": op7_urls.oracle(), "op8_ipf_mixing": op8_mixing.oracle(), "op9_warc_revisits": op9_warc.ORACLE}
+    return {"op4_backoff_scores": op4_lm.oracle(), "op6_pivot_topk": OP6_SQL, "op7_url_rules": op7_urls.oracle(), "op8_ipf_mixing": op8_mixing.oracle(), "op9_warc_revisits": op9_warc.ORACLE}

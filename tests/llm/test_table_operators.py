@@ -37,6 +37,33 @@ def test_nearest_recall_and_scores(table):
     assert hits >= 0.9 * 200 and set(got) == {*range(0, 400, 20)}
 
 
+def test_recall_over_several_shards_of_the_embeddings(spark):
+    """The driver's vectors in eight shards, merged, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    data = {r.vec_id: np.array(r.embedding, dtype=float) for r in df.collect() if r.embedding}
+    ids, x = np.array(sorted(data)), np.array([data[k] for k in sorted(data)])
+    got: dict = {}
+    for r in op3_hnsw.nearest(df, F.col("id") % 10 == 0, shard=64).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - data[q]) ** 2).sum(1))
+        hits += len(found & set([int(i) for i in ids[np.lexsort((ids, d))] if i != q][:10]))
+    assert len(got) >= 45 and hits >= 0.9 * 10 * len(got)
+
+
+def test_searches_of_many_lengths_and_of_values_beyond_range(spark):
+    rows = [(i, [float(i + j) for j in range(1 + i % 60)]) for i in range(240)] + [(900, [1e307, 1.0]), (901, [-1e307, 2.0]), (902, [1e160, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = op3_hnsw.nearest(df, F.col("id") % 50 == 0).collect()
+    assert {r.query_id for r in near if r.query_id % 50 == 0} == {50, 100, 150, 200, 900}  # 0 is a zero vector
+    large = op6_topk.largest(df, F.col("id") % 50 == 0).collect()
+    for q in (0, 50, 100, 150, 200):
+        whole = lambda v: np.floor(256 * np.array(v))
+        want = sorted((-int(whole(dict(rows)[q]) @ whole(v)), i) for i, v in rows if i != q and len(v) == len(dict(rows)[q]) and i < 900)
+        assert [(r.vec_id, r.score) for r in sorted(large, key=lambda r: r.rank) if r.query_id == q and r.vec_id < 900] == [(i, -s) for s, i in want][:5]
+
+
 def test_searches_of_empty_tables(table):
     none = table[0].limit(0)
     assert op3_hnsw.nearest(none, F.col("id") % 20 == 0).count() == 0 and op6_topk.largest(none, F.col("id") % 20 == 0).count() == 0
@@ -67,6 +94,24 @@ def test_url_rules_and_mined_rules(spark):
     assert op7_urls.judge(pages, spark.createDataFrame([], "url string, bad boolean")).count() == len(urls)
 
 
+def test_one_long_url_makes_no_explosion(spark):
+    """URLs of 1,000 parts, good and bad ones, and rules that combine two tokens, against all subsets of two."""
+    long = "http://deep.biz/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(1000))
+    bad = [(long, True)] * 6 + [(long, False)] * 6 + [(long + "/tail", True)]
+    bad += [(f"http://a.org/x/{i}?q=1", True) for i in range(20)] + [(f"http://a.org/y/{i}?q=1", False) for i in range(20)] + [(f"http://b.org/x/{i}?q=1", False) for i in range(20)]
+    pages = [(1, long, 9), (2, "http://a.org/x/7?q=1", 9), (3, "http://b.org/x/7?q=2", 9), (4, "http://a.org/z/7?q=1", 9), (4, "http://a.org/x", 9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, verdict int").selectExpr("*", "'own' as token", "'own' as rule", "1 as n", "'own' as kid")
+    got = sorted((r.page_id, r.verdict) for r in op7_urls.judge(df, spark.createDataFrame(bad, "url string, bad boolean"), min_support=0.01).collect())
+    assert got == [(1, "allow"), (2, "block"), (3, "allow"), (4, "allow"), (4, "block")]
+
+
+def test_minimal_rules(spark):
+    urls = [("http://spam.biz/a", True)] * 6 + [("http://spam.biz/b", True)] * 6 + [("http://good.biz/a", False)] * 6
+    rules, classes = op7_urls.mined_rules(spark.createDataFrame(urls, "url string, bad boolean").select(op7_urls.tokens(F.col("url")).alias("tokens"), "bad"), 0.01, 0.8)
+    names = {r.token: r.cls for r in classes.collect()}
+    assert {tuple(r.antecedent) for r in rules.collect()} == {(names["h:spam"],), (names["p:b"],)}
+
+
 def test_revisits(spark):
     full, other = 'ETag: "a"\r\nContent-Length: 9\r\nX: 1', 'ETag: "b"\r\nContent-Length: 7'
     rows = [
@@ -81,3 +126,17 @@ def test_revisits(spark):
     assert got[5][:2] == (2, "mismatch") and got[10][:2] == (2, "unvalidated") and got[10][2]["content-length"] == "7"
     assert [got[k][:2] for k in (6, 7, 8)] == [(None, "no-original")] * 3 and set(got) == {3, 4, 5, 6, 7, 8, 10}
     assert op9_warc.resolve(df.limit(0)).count() == 0
+
+
+def test_revisits_of_one_hot_url_and_long_blocks(spark):
+    """One URL within one day, repeated rows, clashing names and a block of many lines; every revisit against brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "http://hot.org/", int(rng.integers(0, 80_000)), "response" if i % 3 else "revisit", f'ETag: "{i % 5}"') for i in range(3000)]
+    rows += [rows[0]] * 2 + [(5000, "http://hot.org/", 90_000, "revisit", "\n".join(f"h{i % 900}: {i}" for i in range(5000)) + "\n: none\nbroken")]
+    df = spark.createDataFrame(rows, "record_id long, url string, s long, type string, block string").select("record_id", "url", F.timestamp_seconds("s").alias("ts"), "type", "block", F.lit(1).alias("canonical"), F.lit("x").alias("slice")).repartition(7)
+    full = sorted((s, i) for i, _, s, t, _ in rows if t == "response")
+    want = sorted((i, max(((a, b) for a, b in full if a < s), default=(None, None))[1] or -1) for i, _, s, t, _ in rows if t == "revisit")
+    got = op9_warc.resolve(df).collect()
+    assert sorted((r.record_id, -1 if r.original_id is None else r.original_id) for r in got) == want
+    heads = next(r.headers for r in got if r.record_id == 5000)
+    assert heads["h0"] == "4500" and heads["h899"] == "4499" and "" not in heads

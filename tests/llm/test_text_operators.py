@@ -53,25 +53,28 @@ def test_forced_boundaries_never_divide_a_token():
 
 
 def backoff(texts, order):
-    """Stupid backoff with each document's own counts left out."""
+    """(tokens, score, score without the document's own counts) of each text by stupid backoff."""
     docs = [(t or "").lower().split() for t in texts]
     own = [Counter(tuple(w[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(n - 1, len(w))) for w in docs]
     whole = sum(own, Counter())
     total = sum(map(len, docs))
-    for w, mine in zip(docs, own, strict=True):
-        rest, logs = max(1, total - len(w)), 0.0
-        c = lambda g, mine=mine: whole[g] - mine[g]
+
+    def score(w, c, size):
+        logs = 0.0
         for i in range(len(w)):
             factor = 1.0
             for n in range(min(order, i + 1), 0, -1):
                 g = tuple(w[i - n + 1 : i + 1])
                 if n == 1:
-                    logs += math.log(factor * (c(g) or op4_lm.BACKOFF) / rest)
+                    logs += math.log(factor * (c(g) or op4_lm.BACKOFF) / max(1, size))
                 elif c(g) > 0:
                     logs += math.log(factor * c(g) / c(g[:-1]))
                     break
                 factor *= op4_lm.BACKOFF
-        yield len(w), logs if w else None
+        return logs if w else None
+
+    for w, mine in zip(docs, own, strict=True):
+        yield len(w), score(w, whole.__getitem__, total), score(w, lambda g, mine=mine: whole[g] - mine[g], total - len(w))
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -80,17 +83,19 @@ def test_backoff_scores(spark, sf, odd, order, monkeypatch):
     monkeypatch.setattr(op4_lm, "BLOCK", 30_000)
     for docs in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), odd):
         rows = docs.collect()
-        want = Counter((r.doc_id, n, None if s is None else round(s, 3)) for r, (n, s) in zip(rows, backoff([r.text for r in rows], order), strict=True))
-        got = Counter((r.doc_id, r.n_tokens, None if r.log_score is None else round(r.log_score, 3)) for r in op4_lm.score(docs, order=order).collect())
-        assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want}
-        assert sorted(s for _, _, s in got if s is not None) == pytest.approx(sorted(s for _, _, s in want if s is not None), abs=0.002)
+        want = sorted(((str(r.doc_id), n, s or 0, h or 0) for r, (n, s, h) in zip(rows, backoff([r.text for r in rows], order), strict=True)))
+        got = sorted((str(r.doc_id), r.n_tokens, r.log_score or 0, r.held_out_score or 0) for r in op4_lm.score(docs, order=order).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        for at in (2, 3):
+            assert [x[at] for x in got] == pytest.approx([x[at] for x in want], abs=0.002)
+    assert op4_lm.score(odd).filter("n_tokens = 0 and (log_score is not null or held_out_score is not null)").count() == 0
 
 
 def test_the_registered_model_has_contexts_of_two_words(spark):
     """'a b c' and 'x b d' are each found once more: after two words the next one is certain, after 'b' alone it isn't."""
     texts = ["a b c", "a b c", "x b d", "x b d"]
     got = op4_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.log_score for r in got] == pytest.approx([s for _, s in backoff(texts, 3)], abs=1e-5)
+    assert [x for r in got for x in (r.log_score, r.held_out_score)] == pytest.approx([x for _, s, h in backoff(texts, 3) for x in (s, h)], abs=1e-5)
 
 
 def test_backoff_empty_table(none):
@@ -131,11 +136,33 @@ def test_cotraining_hands_labels_over():
     y = (rng.random(1200) < 0.5).astype(float)
     view = lambda noise: np.stack([np.ones(1200), y * 4 - 2 + rng.normal(size=1200) * noise], axis=1)
     a, b = view(0.5), view(1.0)
-    model = op2_quality.cotrain((a[:40], b[:40]), y[:40], np.arange(40) % 2 == 0, (a[40:800], b[40:800]))
+    model = op2_quality.cotrain((a[:40], b[:40]), y[:40], np.arange(40) % 2 == 0, op2_quality.in_memory((a[40:800], b[40:800]), np.arange(760)))
     p = model.score(a[800:], b[800:])[0]
     assert ((p > 0.5) == (y[800:] > 0)).mean() > 0.98
 
 
+def test_cotraining_over_a_table_hands_over_what_brute_force_does(spark, sf):
+    """One round's exchange over all unlabelled documents, and the fitted model, against the same in memory."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("xxhash64(doc_id) as name", "text", "source", "lang", "n_chars")
+    table = op2_quality.features_of(docs).repartition(5)
+    rows = table.collect()
+    names = np.array([r.name for r in rows])
+    pool = tuple(np.array([np.frombuffer(r[c], np.float32) for r in rows], dtype=float) for c in "tm")
+    rng = np.random.default_rng(1)
+    weights, taken = [rng.normal(size=x.shape[1]) for x in pool], [{int(n) for n in names[:20]}, set()]
+    want = op2_quality.in_memory(pool, names, 7, 0.6)(weights, taken)
+    got = op2_quality.in_table(table, 7, 0.6)(weights, taken)
+    assert sorted(x[:3] for x in got) == sorted(x[:3] for x in want) and len(got) > 10
+    assert not {n for v, _, n, _ in got if v == 0} & taken[0]
+
+
+def test_quality_of_repeated_ids_repeats(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    twice = odd.unionByName(odd.selectExpr("doc_id", "reverse(text) as text", "lang", "source", "n_chars", *odd.columns[5:]))
+    one, two = (op2_quality.fit(twice.repartition(k), labels) for k in (2, 3))
+    assert np.allclose(one.mix, two.mix)
+
+
 def test_language_of_documents_and_pages(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
     half = F.xxhash64("doc_id", F.lit(9)) % 2 == 0
@@ -162,6 +189,31 @@ def test_host_priors_are_smoothed_by_domain(spark):
     assert p["a.x.org"][0] > 0.8 and p["c.y.org"][1] > 0.8 and p["b.x.org"][0] > 0.6
 
 
+def test_posterior_by_brute_force(spark):
+    """Priors, declarations, suffixes and likelihoods multiplied out by hand."""
+    rng, langs = np.random.default_rng(2), op5_langid.LANGUAGES
+    model = op5_langid.Model(langs, rng.normal(-9, 1, (op5_langid.BUCKETS, 5)).astype(np.float32))
+    hosts = ["a.x.co.uk", "b.x.co.uk", "c.shop.de", None, "", "plain"]
+    rows = [(i, "".join(rng.choice(list("abcdefg "), 40)) if i % 7 else None, ["de", "fr", None, "zz"][i % 4], hosts[i % 6]) for i in range(120)]
+    got = op5_langid.identify(spark.createDataFrame(rows, "id long, text string, said string, host string"), model, "text", F.col("said"), F.col("host")).collect()
+    ll = {r[0]: np.array(model.likelihoods(r[1])) for r in rows}
+    domain = {"a.x.co.uk": "x.co.uk", "b.x.co.uk": "x.co.uk", "c.shop.de": "shop.de", "plain": "plain"}
+    count = lambda of: np.bincount([int(ll[i].argmax()) for i, t, _, h in rows if h in of and t], minlength=5)[:4]
+    base = (count(domain) + 1) / (count(domain).sum() + 4)
+    smooth = lambda c, p: (c + op5_langid.STRENGTH * p) / (c.sum() + op5_langid.STRENGTH)
+    prior = {h: smooth(count([h]), smooth(count([k for k in domain if domain[k] == d]), base)) for h, d in domain.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        p = np.append(np.log(prior.get(r.host, np.full(4, 0.25))), np.log(op5_langid.ODD)) + ll[r.id]
+        for said, right in ((r.said, op5_langid.DECLARED), ({"a.x.co.uk": "en", "b.x.co.uk": "en", "c.shop.de": "de"}.get(r.host), op5_langid.SUFFIX)):
+            if said in langs:
+                p[:4] += np.log([right if x == said else (1 - right) / 3 for x in langs])
+        p = np.exp(p - p.max())
+        assert r.language == [*langs, "und"][int(p.argmax())] and r.confidence == pytest.approx(p.max() / p.sum(), abs=2e-6)
+    quiet = [r for r in got if not r.text and not r.host and not r.said]
+    assert quiet and all(r.confidence < 0.26 for r in quiet)  # nothing is known of them
+
+
 def test_language_of_odd_rows(odd, none):
     model = op5_langid.fit(odd, "doc_id", "text", "lang")
     got = op5_langid.identify(odd, model, "text", F.col("lang"), F.col("source"))
@@ -279,6 +331,17 @@ def test_near_duplicates_among_documents_that_share_a_passage(spark):
     assert sum(group.get(2 * i, -1) == group.get(2 * i + 1, -2) for i in range(1500)) >= 1490
 
 
+def test_exact_near_duplicates_lose_no_pair(spark):
+    """With candidates by their first shingles, made pairs at 0.8 are all found; the chains stay within their budgets."""
+    rng, rows = np.random.default_rng(6), []
+    for k in range(200):
+        n = int(rng.choice([9, 27, 90]))
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: -(-8 * n // 9) + 4] + [f"v{x}" for x in rng.integers(0, 10**9, n // 9)]))]
+    group = {r.doc_id: r.group for r in op10_simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()}
+    assert all(group.get(2 * k) == group.get(2 * k + 1) == 2 * k for k in range(200))
+
+
 def test_keep_one_of_odd_rows(odd, none):
     kept = op10_simhash.keep_one(odd).collect()
     texts = [r.text for r in kept if (r.text or "").strip()]
@@ -292,13 +355,13 @@ def test_mixing_meets_its_targets(spark, sf):
     want = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
     rows = op8_mixing.described(docs)
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    raked = op8_mixing.rake(cells, {"source": 1.0, "topic": 1.0, "lang": 1.0}, {"lang": want}, rounds=12).collect()
+    raked = op8_mixing.rake(cells, {"source": 1.0, "topic": 1.0, "lang": 1.0}, {"lang": want}).collect()
     for lang, share in want.items():
-        assert sum(r.weight for r in raked if r.lang == lang) == pytest.approx(share, abs=1e-3)
+        assert sum(r.weight for r in raked if r.lang == lang) == pytest.approx(share, rel=2e-4)
     for name in ("source", "topic"):
         total = sum(r.tokens for r in raked)
         for v in {r[name] for r in raked}:
-            assert sum(r.weight for r in raked if r[name] == v) == pytest.approx(sum(r.tokens for r in raked if r[name] == v) / total, abs=0.02)
+            assert sum(r.weight for r in raked if r[name] == v) == pytest.approx(sum(r.tokens for r in raked if r[name] == v) / total, rel=2e-4)
     got = op8_mixing.mix(docs).collect()
     assert len(got) == len({r.doc_id for r in got}) == docs.count()
     assert sum(r.tokens * r.prob for r in got) == pytest.approx(op8_mixing.KEEP * sum(r.tokens for r in got), rel=0.02)
