@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each result as
 Parquet into the shared folder and reads it back as the next stage's docs. All stages but the last return the columns
 of ``documents``; the last adds what encoding found. Null columns, empty tables and repeated rows are handled as each
-operator's docstring states. SQL can't express the stages, so ORACLE_SQL is None and tests hold the stages against
-brute-force versions.
+operator's docstring states. SQL can't express the stages, so ORACLE_SQL is None: tests/llm/test_pipeline.py runs all of
+them on a small table, and holds language (the posterior), near-duplicates (pairs by count) and encoding (the
+tokenizers library) against brute force, mixing against its targets, and quality against held-out labels.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages; the source stands for the host, the declared language for the markup."""
     model = op5_langid.fit(docs, "doc_id", "text", "lang")
-    return op5_langid.identify(docs, model, "text", F.col("lang"), F.col("source")).filter("accepted").select(*docs.columns)
+    return op5_langid.identify(docs, model, "text", F.col("lang"), F.col("source"), hold=cut).filter("accepted").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
