@@ -106,3 +106,13 @@ def keyed_join(rows: DataFrame, known: DataFrame, on: list[str], count: str, tot
     hot = known.filter(F.col(count) > total // HOT).drop(count)
     cold = known.filter(F.col(count) <= total // HOT).drop(count)
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
+#: Ids that are sent to all executors at most (8 MB); more are joined by a shuffle.
+SENT = 1 << 20
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose id is (left_anti: isn't) in the one-column table ``ids``, which is written and counted first: few ids go to the rows."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, ids.columns[0], how)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut, keyed_join, runs
+from collatium.llm.common import among, cut, keyed_join, runs
 from collatium.llm.components import components
 
 #: Rows of a block; a unit holds two blocks at most.
@@ -257,28 +257,38 @@ def prefix_keys(h: np.ndarray) -> np.ndarray:
     return h[: len(h) - -(-low * len(h) // high) + 1].astype(np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int, exact: bool = False) -> DataFrame:
-    """(key long, same binary, hashes binary, f0 .. long, bands array<long>): each text's distinct shingles, with a digest of
-    them, their SimHash, and the keys by which candidates meet.
+def signatures(docs: DataFrame, key: str, text: str, size: int, exact: bool = False) -> DataFrame:
+    """(key long, same binary, bytes long, bands array<long>): a digest of each text's distinct shingles, the bytes that hash_sets
+    has of them, and the keys by which candidates meet. A wordless text has none."""
 
-    hashes: the first KEPT bytes of each, ascending. A wordless text has no hashes and no bands.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sizes, keys = [], [], []
+            for value in batch.column(1):
+                h = np.unique(shingle_hashes(value.as_py(), size))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(KEPT * len(h))
+                keys.append((prefix_keys(h) if exact else band_keys(h.astype(np.uint64))) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "bytes", "bands"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, same binary, bytes long, bands array<long>")
+
+
+def hash_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(node long, hashes binary, f0 .. long): the first KEPT bytes of each of a text's distinct shingles, ascending, and their SimHash."""
     names = [f"f{i}" for i in range(NEAR_LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, hashes, prints, keys = [], [], [], []
+            hashes, prints = [], []
             for value in batch.column(1):
                 h = np.unique(shingle_hashes(value.as_py(), size))
-                same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 hashes.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
                 prints.append(simhash(h, NEAR_LANES))
-                keys.append((prefix_keys(h) if exact else band_keys(h.astype(np.uint64))) if len(h) else [])
             words = [pa.array([p[i] for p in prints], pa.int64()) for i in range(NEAR_LANES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), *words, pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "hashes", *names, "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), *words], names=["node", "hashes", *names])
 
-    schema = ", ".join(["key long", "same binary", "hashes binary", *[f"{n} long" for n in names], "bands array<long>"])
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).mapInArrow(run, ", ".join(["node long", "hashes binary", *[f"{n} long" for n in names]]))
 
 
 def alike(sets: list[bytes], prints: np.ndarray) -> list[tuple[int, int]]:
@@ -331,14 +341,16 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     chains stay within their budgets. Equal sets are one node; texts without words are near each other. Buckets of equal
     members are one. Keys must be distinct and not null.
     """
-    rows = cut(shingle_sets(docs, key, text, size, exact))
-    folded = cut(rows.groupBy("same").agg(F.min("key").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.max(F.octet_length("hashes")).alias("bytes")))
+    rows = cut(signatures(docs, key, text, size, exact))
+    folded = cut(rows.groupBy("same").agg(F.min("key").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.max("bytes").alias("bytes")))
     keys = folded.select("node", "bytes", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("n > 1")
     sizes = cut(sizes.groupBy("n", "bytes", "least", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("bytes") / block).cast("int").alias("nb")))
-    dealt = in_blocks(keys.select("node", "bucket"), sizes)
+    dealt = cut(in_blocks(keys.select("node", "bucket"), sizes))
+    # only texts that meet another are hashed again, where they lie
+    met = among(docs.select(F.col(key).cast("long").alias("node"), text), dealt.select("node").distinct())
     names = [f"f{i}" for i in range(NEAR_LANES)]
-    sets = dealt.join(rows.select(F.col("key").alias("node"), "hashes", *names), "node")
+    sets = dealt.join(hash_sets(met, "node", text, size), "node")
     keyed = sets.select("bucket", "lo", "hi", "node", "hashes", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     comp = components(keyed.mapInArrow(near_edges, "a long, b long").distinct())
     labels = folded.select("same", "n", "node").join(comp, "node", "left").select("same", "n", "node", F.coalesce("component", "node").alias("group"))
@@ -366,5 +378,6 @@ def keep_one(docs: DataFrame, order: str = "doc_id", text: str = "text", exact:
     rank = F.struct(F.col("_order").isNull().alias("null"), "_order", "_row")
     known = placed.select("_row", F.col(order).alias("_order")).join(rows.withColumnRenamed("key", "_row"), "_row")
     best = known.groupBy("same").agg(F.min(rank).alias("best"))
-    kept = cut(labels.select("same", "group").join(best, "same").groupBy("group").agg(F.min("best")["_row"].alias("_row")).select("_row"))
-    return placed.join(kept, "_row", "left_semi").drop("_row")
+    kept = labels.select("same", "group").join(best, "same").groupBy("group").agg(F.min("best")["_row"].alias("_row")).select("_row")
+    gone = rows.select(F.col("key").alias("_row")).join(kept, "_row", "left_anti")
+    return among(placed, gone, "left_anti").drop("_row")
