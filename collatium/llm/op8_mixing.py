@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut, keyed_join, settle
+from collatium.llm.common import HOT, cut, keyed_join, settle
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 TOLERANCE, MOST, FACTORS, KEEP, SEED = 1e-4, 100, 6, 0.6, 17
@@ -113,7 +113,9 @@ def sampled(docs: DataFrame, key: str = "doc_id", keep: float = KEEP, targets: d
     prob, total = cell_probabilities(described(docs.select("text", "source", "lang"), topic_of=topic_of).select(*CELL, "tokens"), keep, targets, tolerance)
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_lang": F.coalesce("lang", F.lit("?")), "_topic": F.coalesce(topic_of(F.coalesce("text", F.lit("")), words), F.lit("?"))})
-    drawn = keyed_join(rows, prob.withColumnsRenamed(names | {"prob": "_prob", "n": "_n"}), list(names.values()), "_n", total)
+    prob, on = prob.withColumnsRenamed(names | {"prob": "_prob", "n": "_n"}), list(names.values())
+    # a table of few cells goes to the rows as a whole: texts are read once
+    drawn = rows.join(F.broadcast(prob.drop("_n")), on) if prob.count() <= HOT else keyed_join(rows, prob, on, "_n", total)
     return drawn.filter(draw(F.col(key), seed) < F.col("_prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
