@@ -18,10 +18,10 @@ def _rows(**fields: T.DataType) -> T.ArrayType:
 def lcs_pairs(left: list[str], right: list) -> list[tuple[int, int]]:
     """Order-preserving alignment of greatest length; a right element may be a list of alternative keys.
 
-    Where leaving out the left item loses nothing it is left out. O(n m) in time, a byte for each cell in memory.
+    Empty keys match nothing. Where leaving out the left item loses nothing it is left out. O(n m) in time, a byte for each cell in memory.
     """
     n, m = len(left), len(right)
-    keys = [set(r) if isinstance(r, (list, tuple, set, np.ndarray)) else {r} for r in right]
+    keys = [{k for k in (r if isinstance(r, (list, tuple, set, np.ndarray)) else (r,)) if k} for r in right]
     of: dict[str, list[int]] = {}
     for j, ks in enumerate(keys):
         for k in ks:
@@ -104,38 +104,3 @@ def rejoin(tokens: pd.Series, joins: pd.Series, parts: pd.Series) -> pd.Series:
     The vocabulary is joined as a table beforehand, so a task holds no more of it than a row needs.
     """
     return pd.Series([[] if t is None else rejoined(list(t), set(() if j is None else j) | set(() if p is None else p)) for t, j, p in zip(tokens, joins, parts, strict=True)])
-
-
-#: A visual-order transliteration and what its signs stand for.
-VISUAL = dict(zip("abgdhwzjyklmnsopxqrtS", "אבגדהוזחיכלמנסעפצקרתש", strict=True))
-VISUAL_MARKS = {"A": "ַ", "E": "ֶ", "I": "ִ", "O": "ֹ", "U": "ֻ", ".": "ּ"}
-BETA = dict(zip("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω", strict=True))
-BETA_MARKS = {"/": "́", "\\": "̀", "=": "͂", ")": "̓", "(": "̔"}
-
-
-def logical(visual: str) -> str:
-    """Visual-order signs as text in logical order: marks go with the letter before them, units are reversed."""
-    units: list[str] = []
-    for c in visual:
-        if c in VISUAL_MARKS and units:
-            units[-1] += VISUAL_MARKS[c]
-        else:
-            units.append(VISUAL.get(c, c))
-    return "".join(reversed(units))
-
-
-def greek(text: str) -> str:
-    """Transliterated Greek: a sigma ends a word as the final one, marks follow their letters."""
-    out = []
-    for i, c in enumerate(text):
-        if c in BETA_MARKS:
-            out.append(BETA_MARKS[c] if i else c)
-        elif c == "s" and not text[i + 1 : i + 2].isalpha():
-            out.append("ς")
-        else:
-            out.append(BETA.get(c, c))
-    return unicodedata.normalize("NFC", "".join(out))
-
-
-to_logical = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else logical(t)), T.StringType())
-to_greek = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else greek(t)), T.StringType())

@@ -39,7 +39,12 @@ def greek_norm(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Pointed text without cantillation; a holam before a vav stands on it."""
-    return F.regexp_replace(F.regexp_replace(text, ACCENTS, ""), "ֹו", "וֹ")
+    return F.replace(without_accents(text), F.lit("\u05b9\u05d5"), F.lit("\u05d5\u05b9"))
+
+
+def without_accents(text: Column) -> Column:
+    """Pointed text without cantillation."""
+    return F.regexp_replace(text, ACCENTS, "")
 
 
 def words(text: Column) -> Column:
@@ -76,23 +81,24 @@ def edge(text: Column, last: bool = False) -> Column:
     return F.regexp_extract(text, r"([^ \-]+)[ \-]*$" if last else r"^[ \-]*([^ \-]+)", 1)
 
 
-def completed(short: Column, whole: Column) -> Column:
-    """An abbreviated form, completed from its counterpart where it is a beginning of it."""
-    return F.when(F.length(short) < 1, whole).when(whole.startswith(short), whole).otherwise(short)
-
-
-def abbreviated_side(a: Column, b: Column) -> Column:
-    """Which of two forms abbreviates the other, by their skeletons."""
-    x, y = skeleton(a), skeleton(b)
-    return F.when(x == y, "none").when((x != "") & y.startswith(x), "a").when((y != "") & x.startswith(y), "b").otherwise("differ")
+def mostly(run: Column, other: Column) -> Column:
+    """One of the two is within the other, and the longer is at most twice as long; false for an empty or null one."""
+    n, m = F.length(run), F.length(other)
+    within = (F.instr(other, run) > 0) | (F.instr(run, other) > 0)
+    return F.coalesce((n > 0) & (m > 0) & within & (2 * F.least(n, m) >= F.greatest(n, m)), F.lit(False))
 
 
-def mostly(run: Column, other: Column) -> Column:
-    """run is within other, which is at most twice as long."""
-    return F.coalesce((F.instr(other, run) > 0) & (F.length(other) <= 2 * F.length(run)), F.lit(False))
+def located(run: Column, masoretic: Column, alexandrian: Column, notes: Column, parsed: Column) -> Column:
+    """Where a missing run of letters is: six places, the first that holds counts. Common text stands in both editions, so
+    the first is asked before the second."""
+    has = lambda c: F.instr(c, run) > 0
+    return (
+        F.when(F.length(run) < 3, "short").when(has(masoretic), "misordered").when(has(alexandrian), "alexandrian")
+        .when(F.exists(notes, lambda n: mostly(run, n)), "margin").when(has(parsed), "parsed").otherwise("lost")
+    )
 
 
-def context(text: Column, at: Column, n: Column, width: int = 8) -> Column:
+def context(text: Column, at: Column, n: Column, width: int = 12) -> Column:
     """The run of n characters at place ``at`` (from 1) between marks, with what stands around it."""
     start = F.greatest(at - width, F.lit(1))
     return F.concat(F.substring(text, start, at - start), F.lit("["), F.substring(text, at, n), F.lit("]"), F.substring(text, at + n, F.lit(width)))
@@ -109,6 +115,26 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def script_runs(text: Column) -> Column:
+    """Text for HTML with each run of Hebrew isolated."""
+    return F.regexp_replace(escaped(text), r"([֐-׿][֐-׿ \t-\r]*[֐-׿]|[֐-׿])", '<bdi class="heb">$1</bdi>')
+
+
+def inline(text: Column) -> Column:
+    """A note set in the line."""
+    return F.concat(F.lit('<bdi class="inl" dir="ltr">'), script_runs(text), F.lit("</bdi>"))
+
+
+def symbols(text: Column) -> Column:
+    """Two private-use glyphs of the symbol font as arrows: fixed values."""
+    return F.translate(text, "\uf0dc\uf0de", "⇐⇒")
+
+
+def tight(text: Column) -> Column:
+    """Blanks out after an opening bracket and before stops and a closing one."""
+    return F.regexp_replace(F.regexp_replace(text, r"\([ \t-\r]+", "("), r"[ \t-\r]+([,;.)])", "$1")
+
+
 def cell(html: Column) -> Column:
     """Tags out, entities decoded, blanks folded."""
     text = F.regexp_replace(html, "(?s)<[^>]*>", " ")

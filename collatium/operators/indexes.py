@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def unambiguous(rows: DataFrame, key: str, signature: str) -> DataFrame:
-    """(key, signature, n) of the keys that have exactly one signature: one grouped pass, since then least and greatest agree."""
-    return rows.groupBy(key).agg(F.min(signature).alias(signature), F.max(signature).alias("_max"), F.count("*").alias("n")).filter(F.col(signature) == F.col("_max")).drop("_max")
+    """(key, signature, n) of the keys that have exactly one signature; keys with null signatures beside it keep it.
+
+    Rows are counted by (key, signature) first, in a hash aggregate, so that the extremes of strings are taken over few.
+    """
+    return sole(rows.groupBy(key, signature).agg(F.count("*").alias("n")), key, signature)
+
+
+def sole(counts: DataFrame, key: str, signature: str) -> DataFrame:
+    """The same from counts (key, signature, n), whatever else they are grouped by."""
+    return counts.groupBy(key).agg(F.min(signature).alias(signature), F.max(signature).alias("_max"), F.sum("n").alias("n")).filter(F.col(signature) == F.col("_max")).drop("_max")
 
 
 def votes(rows: DataFrame, key: str, value: str, least: int = 5, pure: float = 0.95) -> DataFrame:
@@ -27,11 +35,17 @@ def pool(rows: DataFrame, page: str, ord_: str, entry: Sequence[str], name: str
     return first.withColumn(name, F.row_number().over(Window.partitionBy(page).orderBy("_first", *entry)) - 1).drop("_first")
 
 
-def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that the left has more often, with how many more: exceptAll as counts, in one grouped pass."""
+def bag_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one side has more often, with side ('left' or 'right') and how many more: exceptAll both ways, as counts, in one grouped pass."""
     names = left.columns
     both = left.withColumn("_d", F.lit(1)).unionByName(right.select(*names).withColumn("_d", F.lit(-1)))
-    return both.groupBy(*names).agg(F.sum("_d").alias("n")).filter("n > 0")
+    more = both.groupBy(*names).agg(F.sum("_d").alias("n")).filter("n <> 0")
+    return more.select(F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), *names, F.abs("n").alias("n"))
+
+
+def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that the left has more often, with how many more."""
+    return bag_differences(left, right).filter("side = 'left'").drop("side")
 
 
 def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collatium.functions import scripts
+from collatium.sources.scratch import settled
+
 
 def _over(by: Sequence[str], order: Sequence, start: int | None = None, end: int | None = None):
     w = Window.partitionBy(*by).orderBy(*order)
@@ -88,3 +91,61 @@ def reach_back(chars: Column, opener: str, closer: str, most: int) -> Column:
 def prefix_recall(want: Column, got: Column) -> Column:
     """How many of the wanted items are met in order; an item never met stops the count for good. Arrays of single items."""
     return F.aggregate(got, F.lit(0), lambda i, c: F.when(F.get(want, i) == c, i + 1).otherwise(i))
+
+
+def collapsed(notes: DataFrame, by: str, at: str, rule: str) -> DataFrame:
+    """notes (by, at, kind, text) with each rule line as one note of kind 'order'.
+
+    A sign that ends with the rule closes one; the search goes on to the next note that is neither sign nor apparatus, or
+    that begins with the rule. If that is a sign, all from the first closing one to it are joined backwards, apparatus in
+    brackets. A margin note that begins and ends with the rule is one by itself.
+    """
+    begins, ends = F.col("text").startswith(rule), F.col("text").endswith(rule)
+    ahead = Window.partitionBy(by).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    stop = F.first(F.when(~F.col("kind").isin("sigla", "app") | begins, F.struct(F.col(at).alias("at"), F.col("kind").alias("kind"))), ignorenulls=True).over(ahead)
+    rows = notes.withColumn("_stop", stop).withColumn("_stop", F.when((F.col("kind") == "sigla") & ends & ~begins & (F.col("_stop.kind") == "sigla"), F.col("_stop.at")))
+    # the first closing sign that leads to a stop is where its group starts
+    start = F.min(F.when(F.col("_stop").isNotNull(), F.col(at))).over(Window.partitionBy(by, "_stop"))
+    upto = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_open", F.when(F.col("_stop").isNotNull(), F.struct(start.alias("start"), F.col("_stop").alias("stop"))))
+    rows = rows.withColumn("_open", F.last("_open", ignorenulls=True).over(upto)).withColumn("_start", F.when(F.col(at) <= F.col("_open.stop"), F.col("_open.start")))
+    inside = F.col("_start").isNotNull()
+    piece = F.when(inside & (F.col("kind") == "app"), F.concat(F.lit("("), F.trim("text"), F.lit(")"))).when(inside, F.trim("text")).otherwise(F.col("text"))
+    kind = F.when(inside | ((F.col("kind") == "margin") & begins & ends), "order").otherwise(F.col("kind"))
+    rows = rows.select(by, F.coalesce("_start", at).alias("_at"), at, kind.alias("kind"), piece.alias("_p"))
+    return rows.groupBy(by, F.col("_at").alias(at)).agg(F.min("kind").alias("kind"), F.array_join(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), "_p"))), lambda x: x["_p"])), " ").alias("text"))
+
+
+def projected(segments: DataFrame, by: str, at: str, keep: Sequence[str], variants: Sequence[str]) -> DataFrame:
+    """The segments (by, at, cls, text in visual order) that one edition has, with the seams mended where others went out.
+
+    A binding sign is left out where the word it bound is gone (not where only a variant is). Where what went out held a
+    blank, the words beside it stay two. Where it stood hard against a prefix that is no word, looked for in the four
+    pieces before it, both sides close up.
+    """
+    blank = r"[ \t-\r]"
+    in_order = Window.partitionBy(by).orderBy(at)
+    rows = segments.withColumn("_kept", F.col("cls").isin(*keep))
+    rows = rows.withColumn("_part", F.coalesce(F.sum(F.col("_kept").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    gone = lambda c: F.coalesce(F.bool_or(~F.col("_kept") & c).over(Window.partitionBy(by, "_part")), F.lit(False))
+    rows = rows.withColumns({"_gap": gone(~F.col("cls").isin(*variants)), "_spaced": gone(F.col("text").rlike(blank)), "_hard": gone(~F.col("text").rlike(blank + "$"))}).filter("_kept")
+    rows = rows.withColumns({"_t": F.when(F.col("_gap"), F.regexp_replace("text", f"-({blank}*)$", " $1")).otherwise(F.col("text")), "_prev": F.lag("text").over(in_order)})
+    rows = rows.withColumn("_run", F.sum(F.col("_gap").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.collect_list(F.when(F.col("_spaced"), F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))).over(Window.partitionBy(by, "_run").orderBy(at).rowsBetween(-3, 0))
+    rows = rows.withColumn("_dangling", scripts.bound_fragment(scripts.to_hebrew(F.array_join(F.reverse(last), ""))))
+    closes = F.col("_prev").isNotNull() & F.col("_hard") & ~F.col("_prev").rlike("^" + blank) & F.coalesce(F.lag("_dangling").over(in_order), F.lit(False))
+    parts = F.col("_spaced") & F.col("_prev").isNotNull() & (F.col("_t") != "") & ~F.col("_t").rlike(r"[ \t-\r`-]$") & ~F.col("_prev").rlike(r"^[ \t-\r-]")
+    text = F.when(closes, F.regexp_replace("_t", blank + "+$", "")).when(parts, F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))
+    return rows.select(by, at, "cls", text.alias("text"))
+
+
+def placed(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """df with its place from 1 in the order of all rows: sorted by ranges over all tasks, each range moved by the rows before it.
+
+    The ranges' sizes are one row for each, and are what the one unpartitioned window sees. The order must be total.
+    """
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")

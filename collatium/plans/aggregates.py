@@ -21,7 +21,7 @@ def a1(spark, d):
 @query("a2_first_seen_groups", "SELECT source, min(doc_id) AS first_id, count(*) AS n, row_number() OVER (ORDER BY min(doc_id)) AS place FROM documents GROUP BY source")
 def a2(spark, d):
     groups = load(spark, d, "documents", "doc_id", "source").groupBy("source").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy("first_id")).cast("long"))
+    return order.placed(groups, ["first_id"])
 
 
 @query("a3_unambiguous_index", f"SELECT token, min(lang) AS lang, count(*) AS n FROM {tokens_sql(more='lang,')} GROUP BY token HAVING count(DISTINCT lang) = 1")
@@ -149,8 +149,7 @@ SELECT 'missing' AS side, doc_id, token, b.n - coalesce(a.n, 0) AS n FROM b LEFT
 UNION ALL SELECT 'extra', doc_id, token, a.n - coalesce(b.n, 0) FROM a LEFT JOIN b USING (doc_id, token) WHERE a.n > coalesce(b.n, 0)""")
 def x1(spark, d):
     a, b = tokens(spark, d).select("doc_id", "token"), tokens(spark, d, "benchmark", "item_id").select(F.col("item_id").alias("doc_id"), "token")
-    side = lambda name, df: df.select(F.lit(name).alias("side"), "doc_id", "token", "n")
-    return side("missing", indexes.bag_difference(b, a)).unionByName(side("extra", indexes.bag_difference(a, b)))
+    return indexes.bag_differences(a, b).withColumn("side", F.when(F.col("side") == "left", "extra").otherwise("missing"))
 
 
 @query("x2_union_of_keys", "SELECT doc_id AS key FROM documents UNION SELECT doc_id FROM labels UNION SELECT item_id FROM benchmark")
@@ -182,12 +181,8 @@ def x6(spark, d):
 
 @query("o1_computed_sort", "SELECT row_number() OVER (ORDER BY lang, CAST(regexp_extract(source, '[0-9]+') AS INTEGER), doc_id) AS place, doc_id FROM documents")
 def o1(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.regexp_extract("source", "[0-9]+", 0).cast("int"), "doc_id")
-    rows = load(spark, d, "documents", "doc_id", "lang", "source").withColumn("_i", F.row_number().over(w))
-    # places within a language, moved by what earlier languages hold: no sort in one task
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    moved = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.join(moved, rows.lang.eqNullSafe(moved.lang)).select((F.col("_i") + F.col("_before")).alias("place"), "doc_id")
+    rows = load(spark, d, "documents", "doc_id", "lang", "source").withColumn("_n", F.regexp_extract("source", "[0-9]+", 0).cast("int"))
+    return order.placed(rows, ["lang", "_n", "doc_id"]).select("place", "doc_id")
 
 
 @query("o2_effective_key_sort", """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(value / 10) DESC, CASE WHEN event_type = 'view' THEN 0 ELSE value END, event_id) AS place FROM events""")

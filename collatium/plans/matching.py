@@ -63,8 +63,8 @@ def j4(spark, d):
   FROM events e JOIN events s ON e.user_id = s.user_id AND e.event_type = 'purchase' AND s.event_type = 'signup' GROUP BY e.event_id""")
 def j5(spark, d):
     lines = kinds(spark, d, "signup", "user_id", F.col("value").alias("y"), F.col("event_id").alias("line"))
-    rows = kinds(spark, d, "purchase", "user_id", "event_id", "value").join(lines, "user_id")
-    return rows.groupBy("event_id").agg(F.coalesce(F.max(F.when(F.col("y") > F.col("value"), F.col("line"))), F.min("line")).alias("line"))
+    rows = joins.highest_above(kinds(spark, d, "purchase", "user_id", "event_id", "value"), lines, ["user_id"], "value", "y", "line", "line")
+    return rows.filter("line is not null").select("event_id", "line")
 
 
 def _as_of(kind: str, by: str, name: str, forward: bool):
@@ -135,9 +135,11 @@ far AS (SELECT token, min(lang) AS reading FROM {LABELLED} GROUP BY token HAVING
 SELECT doc_id, token, n, coalesce(near.reading, far.reading) AS reading, CASE WHEN near.reading IS NOT NULL THEN 'local' WHEN far.reading IS NOT NULL THEN 'index' ELSE 'none' END AS tier
 FROM t LEFT JOIN near USING (doc_id, token) LEFT JOIN far USING (token)""")
 def j13(spark, d):
-    forms = tokens(spark, d).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    # one count by text, token and language serves the forms and the index
+    forms = tokens(spark, d, "documents", "doc_id", "lang").groupBy("doc_id", "token", "lang").agg(F.count("*").alias("n"))
     near = tokens(spark, d, "benchmark", "item_id").select(F.col("item_id").alias("doc_id"), "token").distinct().withColumn("_near", F.concat(F.lit("item"), "doc_id"))
-    far = indexes.unambiguous(tokens(spark, d, "documents", "doc_id", "lang"), "token", "lang").select("token", F.col("lang").alias("_far"))
+    far = indexes.sole(forms.groupBy("token", "lang").agg(F.sum("n").alias("n")), "token", "lang").select("token", F.col("lang").alias("_far"))
+    forms = forms.drop("lang")
     rows = forms.join(near, ["doc_id", "token"], "left").join(far, "token", "left")
     tier = F.when(F.col("_near").isNotNull(), "local").when(F.col("_far").isNotNull(), "index").otherwise("none")
     return rows.select("doc_id", "token", "n", F.coalesce("_near", "_far").alias("reading"), tier.alias("tier"))
@@ -175,8 +177,8 @@ def j17(spark, d):
 
 @query("j18_vocabulary_membership", f"WITH t AS (SELECT token, count(*) AS n FROM {tokens_sql()} GROUP BY token) SELECT token, n, token IN (SELECT token FROM {LOCAL}) AS known FROM t")
 def j18(spark, d):
-    counts, vocabulary = tokens(spark, d).groupBy("token").agg(F.count("*").alias("n")), tokens(spark, d, "benchmark", "item_id").select("token")
-    return counts.join(vocabulary, "token", "left_semi").withColumn("known", F.lit(True)).unionByName(counts.join(vocabulary, "token", "left_anti").withColumn("known", F.lit(False)))
+    both = tokens(spark, d).select("token", F.lit(1).alias("n"), F.lit(False).alias("known")).unionByName(tokens(spark, d, "benchmark", "item_id").select("token", F.lit(0).alias("n"), F.lit(True).alias("known")))
+    return both.groupBy("token").agg(F.sum("n").alias("n"), F.max("known").alias("known")).filter("n > 0")
 
 
 @query("j19_range_anti", """SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'click' AND c.user_id = e.user_id AND abs(epoch_us(c.ts) - epoch_us(e.ts)) <= 21600000000)""")
