@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -86,6 +88,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
         yield joined, np.append(offsets(joined), joined.num_rows)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def top_rows(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     """The first k rows of every ``by`` in ``order``, with their rank from 1; Spark trims before its shuffle."""
     from pyspark.sql import Window

@@ -6,7 +6,8 @@ those of the corpus without the document itself, so that a text can't vouch for
 scores 0.4 / N.
 
 Texts are packed into blocks of whole documents: their distinct words by 64-bit hash, and the words' places. A block
-names its distinct n-grams by hash, with how often it has them; these are the exploded n-grams, and they are partitioned
+names its distinct n-grams by as many bits of their hash as the corpus needs, SPARE more than its n-grams would fill (so
+one in a million at most shares its name with another, up to a hash's 64 bits), with how often it has them; these are the exploded n-grams, and they are partitioned
 by hash. A part sums the counts of its n-grams over all blocks, which is its share of the count table, and joins them to
 the blocks' n-grams; its answer to a block is an array in the same order. Blocks and their answers meet by block, and are
 summed per document. A common n-gram comes once from each block, and block and part sizes are bounded by constants, so no
@@ -23,14 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut
+from collatium.llm.common import cut, release
 
 #: Longest n-gram, backoff factor, bytes of a block's texts (a longer text is a block of its own), bytes of text for a part.
-ORDER, BACKOFF, BLOCK, PART = 3, 0.4, 12 << 20, 12 << 20
+ORDER, BACKOFF, BLOCK, PART = 3, 0.4, 10 << 20, 8 << 20
+#: Bits of an n-gram's name beyond those that number all n-grams of the corpus, and the fewest bits of a name.
+SPARE, FEWEST = 20, 50
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,16 +50,37 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def ngrams(words: np.ndarray, of: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngrams(words: np.ndarray, of: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n = 1 .. order: hashes of the n-grams that end at a word, and the words' positions. of: each word's document."""
-    h, at = _mix(words), np.arange(len(words))
-    out = [(h, at)]
+    h, at = _mix(words), np.arange(len(words), dtype=np.int32)
+    yield h, at
     for n in range(2, order + 1):
-        inside = at[(at >= n - 1)]
+        inside = at[at >= n - 1]
         inside = inside[of[inside] == of[inside - n + 1]]
-        before = out[-1][0][np.searchsorted(out[-1][1], inside - 1)]
-        out.append((_mix(before * _GOLD + words[inside]), inside))
-    return out
+        h, at = _mix(h[np.searchsorted(at, inside - 1)] * _GOLD + words[inside]), inside
+        yield h, at
+
+
+def name_bits(tokens: int, order: int) -> int:
+    return min(64, max(FEWEST, SPARE + (tokens * order).bit_length()))
+
+
+def names_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """n-gram hashes as they are counted: their upper bits."""
+    return h >> np.uint64(64 - bits)
+
+
+def squeeze(x: np.ndarray, width: int) -> bytes:
+    """Integers by byte planes, compressed: high bytes are much alike."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def loosen(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    wide[:, :width] = planes.T
+    return wide.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
@@ -64,26 +89,22 @@ def pack_hashes(h: np.ndarray) -> bytes:
         return b""
     gaps = np.diff(h)
     width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return h[:1].tobytes() + bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return h[:1].astype("<u8").tobytes() + bytes([width]) + squeeze(gaps, width)
 
 
 def unpack_hashes(raw: bytes) -> np.ndarray:
     if not raw:
         return np.empty(0, dtype=np.uint64)
-    width = raw[8]
-    body = np.frombuffer(raw, dtype=np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(body) + 1, 8), dtype=np.uint8)
-    wide[1:, :width] = body
-    wide[0] = np.frombuffer(raw[:8], dtype=np.uint8)
-    return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(np.append(np.frombuffer(raw[:8], dtype="<u8"), loosen(raw[9:], raw[8])), dtype=np.uint64)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    """Counts as bytes; 255 stands for a larger one, which follows at the end."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+    """Counts as bytes; 255 stands for a larger one, which follows at the end. Compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes())
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     c = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
     c[c == 255] = np.frombuffer(raw, dtype="<i8", offset=n)
     return c
@@ -92,17 +113,20 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
 def packed_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(block, keys, sizes, words, places, width, tokens): consecutive rows of a partition, BLOCK bytes of text together.
 
-    words: the block's distinct words, packed; places: for every token its word's rank, in ``width`` bytes; sizes: tokens
-    of each row. The table is written, so that a block is the same at each of its uses.
+    words: the block's distinct words, the most frequent first; places: for every token its word's rank, in ``width``
+    bytes; sizes: tokens of each row. The table is written, so that a block is the same at each of its uses.
     """
     kind = docs.select(F.col(key).alias("key")).schema["key"].dataType
     column = pa.list_(_arrow_type(kind))
 
     def emit(block: int, keys: list, each: list[np.ndarray]) -> pa.RecordBatch:
-        names, places = np.unique(np.concatenate(each), return_inverse=True)
-        width = 2 if len(names) <= 1 << 16 else 4
-        cols = [pa.array([block], pa.int64()), pa.array([keys], column), pa.array([np.array([len(e) for e in each], np.int64).tobytes()], pa.binary()), pa.array([pack_hashes(names)], pa.binary())]
-        cols += [pa.array([places.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([len(places)], pa.int64())]
+        names, places, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        width = max(1, (len(names).bit_length() + 7) // 8)
+        cols = [pa.array([block], pa.int64()), pa.array([keys], column), pa.array([np.array([len(e) for e in each], np.int64).tobytes()], pa.binary()), pa.array([squeeze(names[order], 8)], pa.binary())]
+        cols += [pa.array([squeeze(rank[places], width)], pa.binary()), pa.array([width], pa.int32()), pa.array([len(places)], pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names=["block", "keys", "sizes", "words", "places", "width", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +137,14 @@ def packed_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if each and size + len(t) > BLOCK:
                     yield emit(block, keys, each)
                     block, size, keys, each = block + 1, 0, [], []
+                    release()
                 keys.append(name)
                 each.append(word_hashes(t))
                 size += len(t)
         if each:
             yield emit(block, keys, each)
+        each.clear()
+        release()
 
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return cut(slim.mapInArrow(run, f"block long, keys array<{kind.simpleString()}>, sizes binary, words binary, places binary, width int, tokens long"))
@@ -132,15 +159,14 @@ def _arrow_type(kind) -> pa.DataType:
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a block's tokens, and each token's row."""
     sizes = np.frombuffer(row["sizes"], np.int64)
-    places = np.frombuffer(row["places"], f"<u{row['width']}")
-    return unpack_hashes(row["words"])[places], np.repeat(np.arange(len(sizes)), sizes)
+    return loosen(row["words"], 8)[loosen(row["places"], row["width"]).astype(np.int64)], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def _part_of(names: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    return ((names >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+def requests(blocks: DataFrame, order: int, parts: int, bits: int) -> DataFrame:
     """(part, n, block, hashes, counts, size): each block's distinct n-grams, divided by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +175,8 @@ def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 words, of = unpacked(row)
                 for n, (h, _) in enumerate(ngrams(words, of, order), 1):
-                    names, counts = np.unique(h, return_counts=True)
-                    part = _part_of(names, parts)
+                    names, counts = np.unique(names_of(h, bits), return_counts=True)
+                    part = _part_of(names, bits, parts)
                     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(names) else np.empty(0, np.int64)
                     for at in range(0, len(first), 64):
                         a = first[at : at + 64]
@@ -160,12 +186,15 @@ def requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                             [pa.array(part[a].astype(np.int32)), pa.array([n] * k, pa.int32()), pa.array([row["block"]] * k, pa.int64()), pa.array([pack_hashes(names[x:y]) for x, y in spans], pa.binary()), pa.array([pack_counts(counts[x:y]) for x, y in spans], pa.binary()), pa.array(b - a)],
                             names=["part", "n", "block", "hashes", "counts", "size"],
                         )
+                    del h, names, counts, part
+                    release()
 
     return blocks.select("block", "sizes", "words", "places", "width").mapInArrow(run, "part int, n int, block long, hashes binary, counts binary, size long")
 
 
 def answer(table: pa.Table) -> pa.Table:
     """All requests of one (part, n), with the counts over all blocks."""
+    release()
     sizes = table.column("size").to_numpy()
     h = np.concatenate([unpack_hashes(x.as_py()) for x in table.column("hashes")])
     c = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes.tolist(), strict=True)])
@@ -176,49 +205,52 @@ def answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "part": table.column("part"), "n": table.column("n"), "found": pa.array(out, pa.binary()), "size": table.column("size")})
 
 
-def scored(words: np.ndarray, of: np.ndarray, known: list[np.ndarray], total: int, docs: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+def scored(words: np.ndarray, of: np.ndarray, known: list[np.ndarray], bits: int, total: int, docs: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Sums of log-scores of each document: with all counts, and without the document's own.
 
-    known: for n = 1, 2 .., corpus counts of the block's distinct n-grams, ascending by hash.
+    known: for n = 1, 2 .., corpus counts of the block's distinct n-grams, ascending by name. Two orders' counts are held at a time.
     """
     own = np.bincount(of, minlength=docs)[of]
-    full, rest = [], []
+    sizes = (np.maximum(1, total), np.maximum(1, total - own))
+    logs: list[np.ndarray] = []
+    before: list[np.ndarray] = []
     for n, (h, at) in enumerate(ngrams(words, of, len(known))):
-        _, back = np.unique(h, return_inverse=True)
+        _, back = np.unique(names_of(h, bits), return_inverse=True)
+        found = known[n][back]
         # what the document itself has of the n-gram
         _, mine, have = np.unique(back.astype(np.int64) * docs + of[at], return_inverse=True, return_counts=True)
-        for counts, value in ((full, known[n][back]), (rest, known[n][back] - have[mine])):
-            counts.append(np.zeros(len(words), dtype=np.int64))
-            counts[-1][at] = value
-
-    def logs(counts: list[np.ndarray], size: np.ndarray | float) -> np.ndarray:
-        out = np.log(np.where(counts[0] > 0, counts[0], backoff) / np.maximum(1, size))
-        for n in range(1, len(counts)):
-            at = np.arange(n, len(of))
-            at = at[of[at] == of[at - n]]  # positions without so long a context keep their shorter score
-            out[at] += np.log(backoff)
-            hit = at[counts[n][at] > 0]
-            out[hit] = np.log(counts[n][hit] / counts[n - 1][hit - 1])
-        return np.bincount(of, weights=out, minlength=docs)
-
-    return logs(full, float(total)), logs(rest, total - own)
+        now = []
+        for value in (found, found - have[mine]):
+            now.append(np.zeros(len(words), dtype=np.int64))
+            now[-1][at] = value
+        if not n:
+            logs = [np.log(np.where(c > 0, c, backoff) / size) for c, size in zip(now, sizes, strict=True)]
+        else:
+            for c, shorter, out in zip(now, before, logs, strict=True):
+                out[at] += np.log(backoff)  # positions without so long a context keep their shorter score
+                hit = at[c[at] > 0]
+                out[hit] = np.log(c[hit] / shorter[hit - 1])
+        before = now
+    return tuple(np.bincount(of, weights=out, minlength=docs) for out in logs)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """(key, n_tokens, log_score, mean_score, held_out_score) for every row; logarithms are natural and rounded to six places."""
     blocks = packed_blocks(docs, key, text)
     size, total = (x or 0 for x in (docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0], blocks.agg(F.sum("tokens")).first()[0]))
-    asked = requests(blocks, order, 1 + size // PART)
+    bits = name_bits(total, order)
+    asked = requests(blocks, order, 1 + size // PART, bits)
     answers = asked.groupBy("part", "n").applyInArrow(answer, "block long, part int, n int, found binary, size long")
     kind = dict(docs.dtypes)[key]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         row = left.slice(0, 1).to_pylist()[0]
         words, of = unpacked(row)
         got = sorted(right.select(["n", "part", "found", "size"]).to_pylist(), key=lambda r: (r["n"], r["part"]))
         known = [np.concatenate([unpack_counts(r["found"], r["size"]) for r in got if r["n"] == n] or [np.empty(0, np.int64)]) for n in range(1, order + 1)]
         docs_ = len(row["keys"])
-        plain, held = scored(words, of, known, total, docs_, backoff)
+        plain, held = scored(words, of, known, bits, total, docs_, backoff)
         n = np.bincount(of, minlength=docs_)
         value = lambda x: pa.array(np.round(x, 6), mask=n == 0)
         return pa.table({"key": left.column("keys").combine_chunks().flatten(), "n": pa.array(n, pa.int64()), "s": value(plain), "m": value(plain / np.maximum(n, 1)), "h": value(held)})
