@@ -5,6 +5,8 @@ Vectors are quantised to integers. With M the largest norm, x' = (x, sqrt(M^2 -
 pivot and its distance to it; a pivot's points, sorted by distance, are cut into blocks, which are annuli. By the
 triangle inequality no point of an annulus [lo, hi] is nearer to q' than max(0, lo - |q' - p|, |q' - p| - hi). A search
 expands from the annulus that holds the query's own distance and stops where that bound rules out the k-th best.
+Queries come in blocks of neighbouring pivots. For every pivot a block's queries span intervals of distance, and only the
+spans of annuli that meet one of them are sent to the block: that join reads bounds alone, before any vector moves.
 
 A bounded sample (SEEDS rows by hash, fewer of each where vectors have many lengths) comes to the driver: its first rows are the pivots, and each query's k-th best
 product with the sample is where its bound starts; neither affects the result. A pivot that owns a third of all rows
@@ -21,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatium.llm import vectors
-from collatium.llm.common import cut, runs, top_rows
+from collatium.llm.common import cut, keyed_join, runs, top_rows
 
-#: Sampled rows and pivots of a vector length, rows of an annulus, annuli of a task, queries of a block.
-SEEDS, PIVOTS, BLOCK, SPAN, QUERIES = 1024, 48, 2048, 8, 2048
+#: Sampled rows and pivots of a vector length, rows of an annulus, annuli of a task, queries of a block, annuli of a task that compares bounds.
+SEEDS, PIVOTS, BLOCK, SPAN, QUERIES, BOUNDS = 1024, 48, 2048, 8, 2048, 4096
 LONG = (1 << 63) - 1
 
 
@@ -76,19 +78,39 @@ def sampled(rows: DataFrame, seeds: int) -> dict[int, tuple[np.ndarray, np.ndarr
     return {d: (np.array([p.id for p in got], dtype=np.int64), np.array([p.v for p in got]), norms[d]) for d, got in of.items()}
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, annuli: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sample: tuple[np.ndarray, np.ndarray, float], pivots: int, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, id, product) for what may be among each query's k largest. annuli: (pivot, ids, vectors, sorted distances)."""
+def starts(q_ids: np.ndarray, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray, float], pivots: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's distances to the pivots, |q|^2, the product its k-th best has at least, and the slack of squared distances."""
     s_ids, s_x, m2 = sample
-    lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    far = _gaps(lifted, _lift(s_x[:pivots], m2))
+    far = _gaps(np.concatenate([q, np.zeros((len(q), 1))], axis=1), _lift(s_x[:pivots], m2))
     own = (q * q).sum(1)
     # the k-th best product with the sample, own row left out
     first = np.where(q_ids[:, None] == s_ids[None, :], -LONG - 1, products(q, s_x))
     floor = np.sort(first, axis=1)[:, -k] if len(s_ids) > k else np.full(len(q), -LONG - 1)
+    return far, own, floor, 1e-6 * (own + m2 + 1)
+
+
+def intervals(q_ids: np.ndarray, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray, float], pivots: int, k: int) -> Iterator[tuple[int, float, float]]:
+    """(pivot, lo, hi), disjoint for a pivot: the distances at which a point may be among the k best of one of the queries."""
+    far, own, floor, slack = starts(q_ids, q, sample, pivots, k)
+    reach = np.sqrt(np.maximum(0.0, own + sample[2] - 2.0 * floor + slack)) * (1 + 1e-9)
+    for p in range(far.shape[1]):
+        lo, hi = far[:, p] - reach, far[:, p] + reach
+        if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
+            yield p, -np.inf, np.inf
+            continue
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+        yield from zip([p] * len(new), lo[new].tolist(), hi[np.append(new[1:], len(lo)) - 1].tolist(), strict=True)
+
+
+def search(q_ids: np.ndarray, q: np.ndarray, annuli: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sample: tuple[np.ndarray, np.ndarray, float], pivots: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query, id, product) for what may be among each query's k largest. annuli: (pivot, ids, vectors, sorted distances)."""
+    m2 = sample[2]
+    far, own, floor, slack = starts(q_ids, q, sample, pivots, k)
     best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
     low = np.array([[max(0.0, d[0] - f, f - d[-1]) for p, _, _, d in annuli for f in (far[i, p],)] for i in range(len(q))])
     order = np.argsort(low, axis=1, kind="stable")
-    slack = 1e-6 * (own + m2 + 1)
 
     def ruled_out(rows: np.ndarray, gap: np.ndarray) -> np.ndarray:
         return gap * gap > own[rows] + m2 - 2.0 * floor[rows] + slack[rows]
@@ -118,6 +140,16 @@ def search(q_ids: np.ndarray, q: np.ndarray, annuli: list[tuple[int, np.ndarray,
             yield int(q_ids[r]), name, -score
 
 
+def blocks(asked: DataFrame) -> DataFrame:
+    """Queries with the int column ``block``: about QUERIES of each vector length and of neighbouring pivots, by a count for each pivot."""
+    counts = cut(asked.groupBy("dim", "pivot").agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    before = Window.partitionBy("dim").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)
+    starts_at = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_slots", F.col("_n"))
+    placed = keyed_join(asked.select("id", "v", "dim", "pivot"), starts_at, ["dim", "pivot"], "_n", total)
+    return placed.select("id", "v", "dim", F.floor((F.col("_before") + F.pmod(F.xxhash64("id", F.lit(1)), "_slots")) / QUERIES).cast("int").alias("block"))
+
+
 def largest(table: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k largest products with all other rows. queries: a condition on ``id``."""
     rows = cut(quantise(vectors.clean(table, key, vector, zero_ok=True), scale))
@@ -146,15 +178,30 @@ def largest(table: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
             for a, b in ((i, min(i + block, e)) for s, e in zip(at[:-1], at[1:], strict=True) for i in range(s, e, block)):
                 part = piece.slice(a, b - a)
                 arrays = [pa.array([x], pa.binary()) for x in (part.column("id").to_numpy().tobytes(), vectors.narrow(part.column("v").flatten().to_numpy()), part.column("far").to_numpy().tobytes())]
-                yield pa.RecordBatch.from_arrays([part.column("dim").slice(0, 1), part.column("pivot").slice(0, 1), *arrays, pa.array([made // SPAN], pa.int32())], names=["dim", "pivot", "ids", "vs", "fars", "span"])
+                far = part.column("far").to_numpy()
+                ends = (far[0], far[-1]) if np.isfinite(far).all() else (-np.inf, np.inf)
+                yield pa.RecordBatch.from_arrays([part.column("dim").slice(0, 1), part.column("pivot").slice(0, 1), *arrays, pa.array([made // SPAN], pa.int32()), *(pa.array([x]) for x in ends)], names=["dim", "pivot", "ids", "vs", "fars", "span", "lo", "hi"])
                 made += 1
 
-    index = cut(ordered.mapInArrow(annuli, "dim int, pivot int, ids binary, vs binary, fars binary, span int").withColumn("part", F.spark_partition_id()))
-    asked = vectors.dealt(points.filter(queries).select("id", "v", "dim"), QUERIES, "block", 1)
-    packed = cut(vectors.pack(asked, ["dim", "block"]))
-    # the stated query set against all rows, by blocks of queries and spans of annuli
+    index = cut(ordered.mapInArrow(annuli, "dim int, pivot int, ids binary, vs binary, fars binary, span int, lo double, hi double").withColumn("part", F.spark_partition_id()))
+    packed = cut(vectors.pack(blocks(points.filter(queries)), ["dim", "block"]))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = list(intervals(*vectors.unpack(row["ids"], row["vs"]), known[row["dim"]], pivots, k))
+                pivot, lo, hi = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]] * len(found), pa.int32()), pa.array([row["block"]] * len(found), pa.int32()), pa.array(pivot, pa.int32()), pa.array(lo), pa.array(hi)], names=["dim", "block", "pivot", "reach_lo", "reach_hi"])
+
+    # bounds alone decide which block meets which span of annuli; a hot pivot's annuli are dealt to several tasks
+    bounds = index.select("dim", "part", "span", "pivot", "lo", "hi")
+    deals = max(1, -(-bounds.count() // BOUNDS))
+    near = packed.mapInArrow(reached, "dim int, block int, pivot int, reach_lo double, reach_hi double").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    bounds = bounds.withColumn("deal", F.pmod(F.xxhash64("part", "span"), F.lit(deals)).cast("int"))
+    meet = cut(bounds.join(near, ["dim", "pivot", "deal"]).filter((F.col("lo") <= F.col("reach_hi")) & (F.col("hi") >= F.col("reach_lo"))).select("dim", "block", "part", "span").distinct())
     keys = ["dim", "block", "part", "span"]
-    pairs = index.join(packed.select("dim", "block", F.col("ids").alias("qids"), F.col("vs").alias("qvs")), "dim").repartition(*keys).sortWithinPartitions(*keys, "pivot")
+    pairs = index.drop("lo", "hi").join(meet, ["dim", "part", "span"]).join(packed.select("dim", "block", F.col("ids").alias("qids"), F.col("vs").alias("qvs")), ["dim", "block"])
+    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys, "pivot")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, at in runs(batches, keys):

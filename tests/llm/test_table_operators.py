@@ -81,6 +81,32 @@ def test_largest_products_are_exact(table):
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
 
 
+def test_annuli_beyond_every_bound_are_not_sent(spark, monkeypatch):
+    """Far-apart clusters: exact products where blocks meet few spans; intervals against each query's own."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 6)) * 0.05 + 6 * c for c in rng.normal(size=(8, 6))]).round(3)
+    monkeypatch.setattr(op6_topk, "SPAN", 1)
+    monkeypatch.setattr(op6_topk, "QUERIES", 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in op6_topk.largest(df, F.col("id") % 50 == 0, block=32).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = np.floor(256 * x).astype(np.int64)
+    for q in range(0, len(x), 50):
+        want = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    ids, q = np.arange(0, len(x), 50), whole[::50].astype(float)
+    sample = (np.arange(len(x)), whole.astype(float), float((whole.astype(float) ** 2).sum(1).max()))
+    far, own, floor, slack = op6_topk.starts(ids, q, sample, 4, 5)
+    reach = np.sqrt(np.maximum(0.0, own + sample[2] - 2.0 * floor + slack))
+    spans = list(op6_topk.intervals(ids, q, sample, 4, 5))
+    for p in range(4):
+        mine = [(a, b) for at, a, b in spans if at == p]
+        assert all(b < c for (_, b), (c, _) in zip(mine[:-1], mine[1:], strict=True))
+        for point in np.linspace(far[:, p].min() - 1, far[:, p].max() + 1, 200):
+            assert any(a <= point <= b for a, b in mine) or not (np.abs(far[:, p] - point) <= reach).any()
+
+
 def test_url_rules_and_mined_rules(spark):
     urls = ["http://a.example.com/en/71", "http://COM/en/x", "https://x.example.net/de/8?q", "http://y.net/de/", "http://spam.biz/buy/now", "no scheme", None, "http://", "http://fine.biz/read/1"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
