@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from collatium.plans import aggregates, editions, matching, reading, sequences  # noqa: F401
+from collatium.plans import aggregates, editions, margins, matching, reading, sequences  # noqa: F401
