@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import among, cut, keyed_join, runs
+from collatium.llm.common import among, cut, giving_back, keyed_join, runs
 from collatium.llm.components import components
 
 #: Rows of a block; a unit holds two blocks at most.
@@ -241,8 +241,8 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     """A key for each band of the MinHash signature of distinct hashes. Sets at 0.8 have an equal one at odds of 0.9999."""
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(h), 4096):
-            z = h[i : i + 4096, None] * _TIMES + _PLUS
+        for i in range(0, len(h), 1024):
+            z = h[i : i + 1024, None] * _TIMES + _PLUS
             least = np.minimum(least, ((z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).min(0))
         key = np.arange(1, BANDS + 1, dtype=np.uint64)
         for column in least.reshape(BANDS, MINIMA).T:
@@ -271,7 +271,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, exact: bool = Fa
                 keys.append((prefix_keys(h) if exact else band_keys(h.astype(np.uint64))) if len(h) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "same", "bytes", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, same binary, bytes long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(giving_back(run), "key long, same binary, bytes long, bands array<long>")
 
 
 def hash_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -288,7 +288,7 @@ def hash_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             words = [pa.array([p[i] for p in prints], pa.int64()) for i in range(NEAR_LANES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), *words], names=["node", "hashes", *names])
 
-    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).mapInArrow(run, ", ".join(["node long", "hashes binary", *[f"{n} long" for n in names]]))
+    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).mapInArrow(giving_back(run), ", ".join(["node long", "hashes binary", *[f"{n} long" for n in names]]))
 
 
 def alike(sets: list[bytes], prints: np.ndarray) -> list[tuple[int, int]]:
@@ -352,7 +352,7 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     names = [f"f{i}" for i in range(NEAR_LANES)]
     sets = dealt.join(hash_sets(met, "node", text, size), "node")
     keyed = sets.select("bucket", "lo", "hi", "node", "hashes", *names).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    comp = components(keyed.mapInArrow(near_edges, "a long, b long").distinct())
+    comp = components(keyed.mapInArrow(giving_back(near_edges), "a long, b long").distinct())
     labels = folded.select("same", "n", "node").join(comp, "node", "left").select("same", "n", "node", F.coalesce("component", "node").alias("group"))
     return rows.select("key", "same"), labels
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut, top_rows
+from collatium.llm.common import cut, giving_back, top_rows
 
 #: Labelled rows that are fitted on, rounds, pseudo-labels of a class and round, and how sure they must be.
 LABELLED, ROUNDS, GROW, SURE = 4000, 4, 300, 0.95
@@ -208,7 +208,7 @@ def features_of(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _bytes(text), _bytes(meta)], names=[*kept, "t", "m"])
 
     schema = ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in kept], "t binary", "m binary"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", labelled: int = LABELLED) -> Model:
@@ -239,4 +239,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.round(x, 6)) for x in found]], names=[*batch.schema.names, *names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields], *[f"{x} double" for x in names]])
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(giving_back(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatium.llm.common import cut, keyed_join
+from collatium.llm.common import cut, giving_back, keyed_join
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -101,7 +101,7 @@ def with_likelihoods(docs: DataFrame, model: Model, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "_ll"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "_ll array<double>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def _logs(values: list[Column]) -> Column:

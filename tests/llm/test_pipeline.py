@@ -1,10 +1,14 @@
 """The pipeline from end to end, with odd rows among the documents."""
 
 import hashlib
+import re
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
+from collatium.llm import op1_bpe, op2_quality, op5_langid, op10_simhash
+from collatium.llm.common import release
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +61,34 @@ def test_run_of_the_whole_and_of_nothing(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_give_memory_back(spark, folder, monkeypatch):
+    """Python workers serve one stage after the other: none starts with what another has freed, and none keeps what it freed."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0).cache()
+    runs, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: (runs.append(run), whole(df, run, schema))[1])
+    op10_simhash.signatures(docs, "doc_id", "text", 5)
+    op10_simhash.hash_sets(docs, "doc_id", "text", 5)
+    op1_bpe.encode_decode(docs, "")
+    op2_quality.features_of(docs.select("text", "source", "lang", "n_chars"))
+    op2_quality.score(docs, None)
+    op5_langid.with_likelihoods(docs, None, "text")
+    op10_simhash.near_labels(docs)
+    monkeypatch.undo()
+    monkeypatch.setattr(op1_bpe, "codec", lambda path: None)
+    assert len(runs) == 9 and not docs.count()  # near_labels has signatures, hash_sets and near_edges
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    for run in runs:
+        release()
+        base = held()
+        blocks = [b"x" * (1000 + i % 7) for i in range(60_000)]
+        pins = blocks[::5000]  # freed blocks below one that lives stay with the process
+        del blocks
+        assert held() > base + 40
+        assert not sum(x.num_rows for x in run(iter([])))
+        assert held() < base + 15
+        del pins
