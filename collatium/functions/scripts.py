@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,9 +134,12 @@ def open_head(hebrew: Column) -> Column:
 
     Four pointed endings are whole words: a final form, a dagesh in he, a patah under het or under ayin.
     """
-    last = last_letter(hebrew)
+    return _open(hebrew, last_letter(hebrew), consonants(hebrew))
+
+
+def _open(hebrew: Column, last: Column, n: Column) -> Column:
     ends = (F.length(last) == 1) | last.rlike(f"^[{FINAL}]") | last.rlike("^ה.*ּ") | last.rlike("^[חע].*ַ")
-    return (last != "") & ~hebrew.endswith("־") & ((consonants(hebrew) == 1) | ~ends)
+    return (last != "") & ~hebrew.endswith("־") & ((n == 1) | ~ends)
 
 
 def supplied(mt: Column, og: Column) -> Column:
@@ -145,17 +148,46 @@ def supplied(mt: Column, og: Column) -> Column:
     Where the head ends in a sheva and the tail begins with one, that letter is said twice and is left out too.
     """
     head, tail = to_hebrew(mt), without_first(og)
+    return _supplied(consonants(head) < consonants(to_hebrew(og)), open_head(head), head, tail)
+
+
+def _supplied(shorter: Column, is_open: Column, head: Column, tail: Column) -> Column:
     twice = head.endswith("ְ") & F.contains(first_unit(tail), F.lit("ְ"))
-    tail = F.when(twice, without_first(tail)).otherwise(tail)
-    return F.when((consonants(head) < consonants(to_hebrew(og))) & open_head(head) & (F.trim(without_first(og)) != "") & (F.trim(tail) != ""), tail)
+    cut = F.when(twice, without_first(tail)).otherwise(tail)
+    return F.when(shorter & is_open & (F.trim(tail) != "") & (F.trim(cut) != ""), cut)
 
 
 def tail_only(mt: Column, og: Column) -> Column:
     """Whether the second form of a pair set inside a word is the abbreviated one: shorter, not bound, and no proclitic."""
     first, second = to_hebrew(mt), to_hebrew(og)
+    return supplied(mt, og).isNull() & _tail_only(consonants(first), consonants(second), first, second)
+
+
+def _tail_only(n: Column, m: Column, first: Column, second: Column) -> Column:
     last = last_letter(second)
-    proclitic = (consonants(second) == 1) & ~last.rlike(f"^[{FINAL}]") & F.contains(last, F.lit("ְ"))
-    return supplied(mt, og).isNull() & (consonants(second) < consonants(first)) & ~first.endswith("־") & ~second.endswith("־") & ~proclitic
+    proclitic = (m == 1) & ~last.rlike(f"^[{FINAL}]") & F.contains(last, F.lit("ְ"))
+    return (m < n) & ~first.endswith("־") & ~second.endswith("־") & ~proclitic
+
+
+def spelled(pairs: DataFrame) -> DataFrame:
+    """pairs (mt, og, both visual) with the columns that supplied_of and tail_only_of ask for.
+
+    Each is a projection of its own, so that a word is spelled out once and not at every mention in an expression.
+    """
+    rows = pairs.withColumns({"_first": to_hebrew(F.col("mt")), "_second": to_hebrew(F.col("og"))})
+    rows = rows.withColumns({"_n": consonants(F.col("_first")), "_m": consonants(F.col("_second")), "_last": last_letter(F.col("_first"))})
+    return rows.withColumn("_tail", F.when((F.col("_n") < F.col("_m")) & _open(F.col("_first"), F.col("_last"), F.col("_n")), without_first(F.col("og"))))
+
+
+def supplied_of() -> Column:
+    """supplied(mt, og) of spelled pairs."""
+    tail = F.col("_tail")
+    return _supplied(tail.isNotNull(), F.lit(True), F.col("_first"), tail)
+
+
+def tail_only_of() -> Column:
+    """tail_only(mt, og) of spelled pairs for which supplied_of gives nothing."""
+    return _tail_only(F.col("_n"), F.col("_m"), F.col("_first"), F.col("_second"))
 
 
 def bound_fragment(hebrew: Column) -> Column:

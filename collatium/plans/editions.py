@@ -163,8 +163,9 @@ SUPPLIED = f"""(SELECT *, CASE WHEN {CONS('heb')} < {CONS('og_heb')} AND {OPEN}
 
 @query("c13_completion", f"SELECT mt, og, completion FROM {SUPPLIED} WHERE completion IS NOT NULL")
 def c13(spark, d):
-    rows = pairs(spark, d).filter("og is not null").select("mt", "og", scripts.supplied(F.col("mt"), F.col("og")).alias("completion"))
-    return rows.filter("completion is not null")
+    # exploded, since a filter would be pushed below the spelling and repeat it
+    rows = scripts.spelled(pairs(spark, d).filter("og is not null"))
+    return rows.select("mt", "og", F.explode(F.array_compact(F.array(scripts.supplied_of()))).alias("completion"))
 
 
 @query("c14_abbreviated_side", f"""

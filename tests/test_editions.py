@@ -83,3 +83,19 @@ def test_places_over_all_rows(spark):
     df = spark.range(1000).select((F.xxhash64("id") % 1000).alias("a"), "id").repartition(7)
     got = order.placed(df, ["a", "id"]).orderBy("place").collect()
     assert [r.place for r in got] == list(range(1, 1001)) and [(r.a, r.id) for r in got] == sorted((r.a, r.id) for r in got)
+
+
+def spellings(spark, name, sf="/root/testdata/sf0.001"):
+    """How often the optimized plan of a query spells out visual text."""
+    from collatium.plans import catalog
+
+    return catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("reverse(regexp_extract_all(")
+
+
+def test_completion_spells_a_word_once(spark):
+    """Both words of a pair, and a tail's first letter; and what the columns made for it give is what the functions give."""
+    assert spellings(spark, "c13_completion") <= 4
+    rows = [("t'a", "~klt'a"), ("t.a", "~kt.a"), ("lb", "~klta"), ("~klta", "wb"), ("~klta", "w."), (".a", "b.a"), ("b>", "~klt>b"), ("", "a"), ("-a", "ab"), ("x;b", "abg"), (None, "ab")]
+    df = spark.createDataFrame(rows, "mt string, og string")
+    want = df.select("mt", "og", scripts.supplied(F.col("mt"), F.col("og")).alias("s"))
+    assert sorted(map(str, scripts.spelled(df).select("mt", "og", scripts.supplied_of().alias("s")).collect())) == sorted(map(str, want.collect()))
