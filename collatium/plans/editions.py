@@ -173,9 +173,9 @@ WITH s AS (SELECT *, {LAST('og_heb')} AS og_last FROM {SUPPLIED})
 SELECT mt, og, CASE WHEN completion IS NOT NULL THEN 'first' WHEN {CONS('og_heb')} < {CONS('heb')} AND heb NOT LIKE '%־' AND og_heb NOT LIKE '%־'
   AND NOT ({CONS('og_heb')} = 1 AND NOT regexp_matches(og_last, '^[{scripts.FINAL}]') AND contains(og_last, 'ְ')) THEN 'second' ELSE 'neither' END AS side FROM s""")
 def c14(spark, d):
-    mt, og = F.col("mt"), F.col("og")
-    side = F.when(scripts.supplied(mt, og).isNotNull(), "first").when(scripts.tail_only(mt, og), "second").otherwise("neither")
-    return pairs(spark, d).filter("og is not null").select("mt", "og", side.alias("side"))
+    rows = scripts.spelled(pairs(spark, d).filter("og is not null"))
+    side = F.when(scripts.supplied_of().isNotNull(), "first").when(scripts.tail_only_of(), "second").otherwise("neither")
+    return rows.select("mt", "og", side.alias("side"))
 
 
 @query("c15_visible_width", "SELECT s_suppkey, 10 * length(s_name) - 5 * length(regexp_replace(s_name, '[^ijlt.,]', '', 'g')) + 5 * length(regexp_replace(s_name, '[^A-Z]', '', 'g')) AS width FROM supplier")

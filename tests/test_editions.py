@@ -99,3 +99,11 @@ def test_completion_spells_a_word_once(spark):
     df = spark.createDataFrame(rows, "mt string, og string")
     want = df.select("mt", "og", scripts.supplied(F.col("mt"), F.col("og")).alias("s"))
     assert sorted(map(str, scripts.spelled(df).select("mt", "og", scripts.supplied_of().alias("s")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_abbreviated_side_spells_a_word_once(spark):
+    assert spellings(spark, "c14_abbreviated_side") <= 4
+    rows = [("~klta", "wb"), ("~klta", "w."), ("t'a", "~klt'a"), ("", "a"), ("-a", "ab"), ("abg", "a>"), ("abg", "a"), ("abg", "-ab"), (None, "ab")]
+    df = spark.createDataFrame(rows, "mt string, og string")
+    want = df.select("mt", "og", (scripts.supplied(F.col("mt"), F.col("og")).isNull() & scripts.tail_only(F.col("mt"), F.col("og"))).alias("t"))
+    assert sorted(map(str, scripts.spelled(df).select("mt", "og", (scripts.supplied_of().isNull() & scripts.tail_only_of()).alias("t")).collect())) == sorted(map(str, want.collect()))
