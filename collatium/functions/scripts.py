@@ -85,10 +85,45 @@ _IN_WORD = _python_class([m for m in GREEK_MARKS if m not in GREEK_BEFORE])
 GREEK_PIECE = re.compile(rf"(?P<letter>{_LETTER})(?P<near>{_MARKS}*)(?P<far>(?:\s+{_IN_WORD}+)*)|(?P<blank>\s+)|(?P<other>.)", re.S)
 
 
+_UNKNOWN = re.compile(_python_class([*GREEK, *GREEK_MARKS, *GREEK_BEFORE, *GREEK_SIGNS])[:-1].replace("[", "[^", 1) + r"\s]+")
+#: Blanks that no mark follows: a mark of the word after them can't belong to a letter before them, so that words are apart.
+_APART = re.compile(rf"\s+(?!\s|{_IN_WORD})")
+#: Signs that ask for what came before them, and runs of letters with their marks, where these have no such sign among them.
+_WAITING = re.compile(r"[V+\s]")
+_RUN, _WHOLE = re.compile(rf"({_LETTER}(?:{_LETTER}|{_MARKS})*)|(.)"), re.compile(rf"{_LETTER}(?:{_LETTER}|{_MARKS})*")
+_SPELL = str.maketrans(GREEK | GREEK_MARKS)
+#: Words spelled out before; texts repeat most of theirs. Only words that neither meet nor leave a mark that waits for a letter.
+_WORDS: dict[str, str] = {}
+MOST_WORDS, LONGEST = 100_000, 40
+
+
 def greek(text: str) -> str:
     """Transliterated Greek, composed. A mark belongs to the last letter, even past a blank that broke the word in two."""
-    known = re.sub(rf"(?:(?!{_LETTER}|{_MARKS}|{_python_class(GREEK_BEFORE)}|{_python_class(GREEK_SIGNS)}|\s).)+", "", text, flags=re.S)
-    out, before, inside = [], "", False
+    out, before, known = [], "", _WORDS.get
+    for word in _APART.split(_UNKNOWN.sub("", text)):
+        spelled = None if before else known(word)
+        if spelled is None:
+            met = before
+            spelled, before = _greek_word(word, met) if met or _WAITING.search(word) else (_plain_word(word), "")
+            if not met and not before and len(word) <= LONGEST:
+                if len(_WORDS) >= MOST_WORDS:
+                    _WORDS.clear()
+                _WORDS[word] = spelled
+        if spelled:
+            out.append(spelled)
+    return " ".join(out)
+
+
+def _plain_word(known: str) -> str:
+    """A word without blanks and without signs that wait."""
+    if _WHOLE.fullmatch(known):
+        return unicodedata.normalize("NFC", known.translate(_SPELL))
+    parts = [m[1].translate(_SPELL) if m[1] else m[2] if m[2] in GREEK_SIGNS else "" for m in _RUN.finditer(known)]
+    return unicodedata.normalize("NFC", "".join(parts))
+
+
+def _greek_word(known: str, before: str) -> tuple[str, str]:
+    out, inside = [], False
     for m in GREEK_PIECE.finditer(known):
         if m["letter"]:
             marks = "".join(GREEK_MARKS[c] for c in m["near"] + m["far"] if not c.isspace())
@@ -103,7 +138,7 @@ def greek(text: str) -> str:
         else:
             out.append(m["other"] if m["other"] in GREEK_SIGNS else "")
             inside = inside and not out[-1]
-    return unicodedata.normalize("NFC", re.sub(" +", " ", "".join(out))).strip()
+    return unicodedata.normalize("NFC", re.sub(" +", " ", "".join(out))).strip(), before
 
 
 to_greek = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else greek(t)), T.StringType())

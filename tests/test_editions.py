@@ -107,3 +107,19 @@ def test_abbreviated_side_spells_a_word_once(spark):
     df = spark.createDataFrame(rows, "mt string, og string")
     want = df.select("mt", "og", (scripts.supplied(F.col("mt"), F.col("og")).isNull() & scripts.tail_only(F.col("mt"), F.col("og"))).alias("t"))
     assert sorted(map(str, scripts.spelled(df).select("mt", "og", (scripts.supplied_of().isNull() & scripts.tail_only_of()).alias("t")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_greek_word_by_word_is_greek_piece_by_piece(monkeypatch):
+    """Random signs of the font, blanks and strangers; and a word is spelled out once, however often it comes."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("abgLJVv+`;,.-'|<? \t\n  ()1:!–é/=~[]\\ἀ̓᾿") for _ in range(rng.randrange(0, 16)))
+        known = scripts._UNKNOWN.sub("", text)
+        assert scripts.greek(text) == scripts._greek_word(known, "")[0]
+    calls = []
+    plain = scripts._plain_word
+    monkeypatch.setattr(scripts, "_plain_word", lambda w: calls.append(w) or plain(w))
+    scripts._WORDS.clear()
+    assert scripts.greek(("lo,goj kai, qeo.j " * 50).strip()) == " ".join(["λόγος καί θεὸς"] * 50) and len(calls) == 3
