@@ -64,6 +64,13 @@ def to_hebrew(visual: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
+def bare_hebrew(visual: Column) -> Column:
+    """to_hebrew without points, its blanks as they are: without marks every unit is one sign, and the text is turned as a whole."""
+    kept = HEBREW | HEBREW_SIGNS | dict.fromkeys(" \t\n\x0b\x0c\r", " ")
+    text = F.reverse(F.regexp_replace(visual, one_of(kept, without=True) + "+", ""))
+    return F.trim(F.translate(text, "".join(kept), "".join(v[0] for v in kept.values())))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

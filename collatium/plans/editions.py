@@ -247,10 +247,15 @@ w AS (SELECT doc_id, word, string_agg(token, '' ORDER BY ord, k) AS w FROM g GRO
 p AS (SELECT doc_id, word, unnest(string_split(w, '־')) AS part, generate_subscripts(string_split(w, '־'), 1) AS i FROM w)
 SELECT doc_id, regexp_replace(part, '[^א-ת]', '', 'g') AS word, count(*) AS n FROM p WHERE regexp_matches(part, '[א-ת]') GROUP BY ALL""")
 def c23(spark, d):
-    """The words a reader sees: pieces glued to islands, divided again at the binding sign, as consonants, with their counts in each text."""
-    rows = pieces(spark, d).withColumn("word", F.sum(F.when(F.col("glue"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("ord", "k")))
-    whole = rows.groupBy("doc_id", "word").agg(F.array_join(order.ordered(["ord", "k"], "token"), "").alias("w"))
-    parts = whole.select("doc_id", F.explode(F.split("w", "־")).alias("part")).select("doc_id", folds.hebrew_skeleton(F.col("part")).alias("word")).filter("word <> ''")
+    """The words a reader sees: pieces glued to islands, divided again at the binding sign, as consonants, with their counts in each text.
+
+    The same from whole segments: what the binding sign glues is divided there again, so that only a stop or a joined segment
+    leaves no end of a word before it, and a blank or a binding sign is one everywhere else.
+    """
+    rows = segments(spark, d).select("doc_id", "ord", "joined", scripts.bare_hebrew(F.col("text")).alias("heb"))
+    piece = F.concat(F.when(F.col("joined") | (F.col("heb") == "") | F.col("heb").startswith("׃"), "").otherwise(" "), F.regexp_replace("heb", " +׃", "׃"))
+    whole = rows.select("doc_id", "ord", piece.alias("piece")).groupBy("doc_id").agg(F.array_join(order.ordered(["ord"], "piece"), "").alias("w"))
+    parts = whole.select("doc_id", F.explode(F.split(F.translate("w", "־׃", " "), " ")).alias("word")).filter("word <> ''")
     return parts.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 

@@ -123,3 +123,32 @@ def test_greek_word_by_word_is_greek_piece_by_piece(monkeypatch):
     monkeypatch.setattr(scripts, "_plain_word", lambda w: calls.append(w) or plain(w))
     scripts._WORDS.clear()
     assert scripts.greek(("lo,goj kai, qeo.j " * 50).strip()) == " ".join(["λόγος καί θεὸς"] * 50) and len(calls) == 3
+
+
+def against_sql(spark, tmp_path, name, texts):
+    """A query's rows over documents of odd texts, and its SQL's; and its optimized plan."""
+    import duckdb
+
+    from collatium.plans import catalog
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source", "1L as n_chars").coalesce(1).write.parquet(path)
+    df = catalog.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    sql = con.execute(catalog.oracle_sql()[name])
+    at = [d[0] for d in sql.description]
+    return sorted(map(repr, df.select(*at).toPandas().values.tolist())), sorted(repr(list(r)) for r in sql.fetchall()), df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def odd_texts(n=400):
+    import random
+
+    rng = random.Random(9)
+    signs = "abgwl--``';,.e \n\tXV~"
+    return [None, "", ". ", "-. -. a", "a. `. `b. -c", "w. a b. l'. g"] + [". ".join("".join(rng.choice(signs) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+
+
+def test_printed_words_of_odd_segments(spark, tmp_path):
+    got, want, plan = against_sql(spark, tmp_path, "c23_printed_words", odd_texts())
+    assert len(got) > 1000 and got == want and "Window" not in plan
