@@ -228,12 +228,24 @@ PIECES = f"""(SELECT *, mid OR maq OR coalesce(lag(token) OVER (PARTITION BY doc
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, ord, k, cls, token, glue, mid): pieces of segments. glue: no blank before it; mid: within a word."""
-    rows = segments(spark, d).select("doc_id", "ord", "cls", "joined", F.posexplode(F.regexp_extract_all(to_hebrew(F.col("text")), F.lit(PIECE), 0)).alias("k", "token"))
-    w = Window.partitionBy("doc_id").orderBy("ord", "k")
-    sign = F.col("token").rlike("^[־׃]")
-    mid = (F.col("k") == 0) & F.col("joined") & (F.row_number().over(w) > 1) & ~sign
-    return rows.withColumn("mid", mid).withColumn("glue", F.col("mid") | sign | F.coalesce(F.lag("token").over(w).endswith("־"), F.lit(False)))
+    """(doc_id, ord, k, cls, token, glue, mid): pieces of segments. glue: no blank before it; mid: within a word.
+
+    Only whole segments are put in order: of what is before one, its first piece asks whether there is any and how it ends.
+    A segment is cut at one sign that no text has; a second one says that the piece before ends in a binding sign.
+    """
+    cut, tied = "\u0001", "\u0002"
+    rows = segments(spark, d).select("doc_id", "ord", "cls", "joined", to_hebrew(F.col("text")).alias("heb"))
+    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bound", F.last(F.when(F.col("heb") != "", F.col("heb").endswith("־")), ignorenulls=True).over(before))
+    # a binding sign ends a piece if it has a letter before it and goes on; there are few, so that most cuts are blanks
+    tied_parts = F.regexp_replace("heb", "־(?<=[^ ־]־)(?=[^ ])", f"־{cut}{tied}")
+    marked = F.when(F.contains("heb", F.lit("־")), F.replace(tied_parts, F.lit("־ "), F.lit(f"־{cut}{tied}"))).otherwise(F.col("heb"))
+    rows = rows.select("doc_id", "ord", "cls", "joined", "bound", F.posexplode(F.split(F.replace(marked, F.lit(" "), F.lit(cut)), cut)).alias("k", "t"))
+    rows = rows.filter("t <> ''").withColumn("token", F.replace("t", F.lit(tied), F.lit("")))
+    sign = F.col("token").startswith("־") | F.col("token").startswith("׃")
+    mid = (F.col("k") == 0) & F.col("joined") & F.col("bound").isNotNull() & ~sign
+    tie = F.col("t").startswith(tied) | ((F.col("k") == 0) & F.coalesce("bound", F.lit(False)))
+    return rows.select("doc_id", "ord", "k", "cls", "token", (mid | sign | tie).alias("glue"), mid.alias("mid"))
 
 
 @query("c22_tokens_with_glue", f"SELECT doc_id, ord, k, cls, token, glue, mid FROM {PIECES}")

@@ -149,6 +149,12 @@ def odd_texts(n=400):
     return [None, "", ". ", "-. -. a", "a. `. `b. -c", "w. a b. l'. g"] + [". ".join("".join(rng.choice(signs) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 9))) for _ in range(n)]
 
 
+def test_pieces_of_odd_segments(spark, tmp_path):
+    """Binding signs and stops in a row, at ends and alone; segments are put in order, not their pieces."""
+    got, want, plan = against_sql(spark, tmp_path, "c22_tokens_with_glue", odd_texts())
+    assert len(got) > 1000 and got == want and plan.index("Generate") < plan.index("Window")
+
+
 def test_printed_words_of_odd_segments(spark, tmp_path):
     got, want, plan = against_sql(spark, tmp_path, "c23_printed_words", odd_texts())
     assert len(got) > 1000 and got == want and "Window" not in plan
