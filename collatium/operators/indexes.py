@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,21 @@ def pool(rows: DataFrame, page: str, ord_: str, entry: Sequence[str], name: str
     return first.withColumn(name, F.row_number().over(Window.partitionBy(page).orderBy("_first", *entry)) - 1).drop("_first")
 
 
+def pool_of_lists(rows: DataFrame, page: str, items: Column, entry: str, name: str = "pool_id") -> DataFrame:
+    """(page, entry, name): the pool of rows that hold a page's entries as a list.
+
+    A page of one row is numbered where it lies; where every page is one, which is looked at first, nothing else is done. Pages
+    of several rows, null among them, are brought together.
+    """
+    alone = lambda df: df.select(page, F.posexplode(F.array_distinct(items)).alias(name, entry)).select(page, entry, name)
+    many = rows.groupBy(F.col(page).alias("_many")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_many")
+    if many.isEmpty():
+        return alone(rows)
+    again = F.col(page).eqNullSafe(F.col("_many"))
+    parts = rows.join(many, again, "left_semi").select(page, F.posexplode(items).alias("_ord", entry))
+    return alone(rows.join(many, again, "left_anti")).unionByName(pool(parts, page, "_ord", [entry], name).select(page, entry, name))
+
+
 def bag_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has more often, with side ('left' or 'right') and how many more: exceptAll both ways, as counts, in one grouped pass."""
     names = left.columns

@@ -120,7 +120,8 @@ def a14(spark, d):
 SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY o, token) - 1 AS pool_id, '{{"f":"' || token || '","n":' || length(token) || '}}' AS entry
 FROM (SELECT doc_id, token, min(ord) AS o FROM {tokens_sql()} GROUP BY ALL)""")
 def a15(spark, d):
-    return indexes.pool(tokens(spark, d), "doc_id", "ord", ["token"]).select("doc_id", "token", F.col("pool_id").cast("long").alias("pool_id"), F.to_json(F.struct(F.col("token").alias("f"), F.length("token").alias("n"))).alias("entry"))
+    rows = indexes.pool_of_lists(load(spark, d, "documents", "doc_id", "text"), "doc_id", folds.words(F.col("text")), "token")
+    return rows.select("doc_id", "token", F.col("pool_id").cast("long").alias("pool_id"), F.to_json(F.struct(F.col("token").alias("f"), F.length("token").alias("n"))).alias("entry"))
 
 
 @query("a16_corpus_ratio", f"SELECT source, round(sum(length({skeleton_sql('text')})) / greatest(sum(length({letters_sql('text')})), 1), 6) AS ratio FROM documents GROUP BY source")

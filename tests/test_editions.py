@@ -125,20 +125,20 @@ def test_greek_word_by_word_is_greek_piece_by_piece(monkeypatch):
     assert scripts.greek(("lo,goj kai, qeo.j " * 50).strip()) == " ".join(["λόγος καί θεὸς"] * 50) and len(calls) == 3
 
 
-def against_sql(spark, tmp_path, name, texts):
+def against_sql(spark, tmp_path, name, texts, ids=None):
     """A query's rows over documents of odd texts, and its SQL's; and its optimized plan."""
     import duckdb
 
     from collatium.plans import catalog
 
     path = f"{tmp_path}/documents.parquet"
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source", "1L as n_chars").coalesce(1).write.parquet(path)
+    spark.createDataFrame(list(zip(ids or range(len(texts)), texts, strict=True)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source", "1L as n_chars").coalesce(1).write.parquet(path)
     df = catalog.queries()[name](spark, str(tmp_path))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     sql = con.execute(catalog.oracle_sql()[name])
     at = [d[0] for d in sql.description]
-    return sorted(map(repr, df.select(*at).toPandas().values.tolist())), sorted(repr(list(r)) for r in sql.fetchall()), df._jdf.queryExecution().optimizedPlan().toString()
+    return sorted(repr(list(r)) for r in df.select(*at).collect()), sorted(repr(list(r)) for r in sql.fetchall()), df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def odd_texts(n=400):
@@ -158,3 +158,11 @@ def test_pieces_of_odd_segments(spark, tmp_path):
 def test_printed_words_of_odd_segments(spark, tmp_path):
     got, want, plan = against_sql(spark, tmp_path, "c23_printed_words", odd_texts())
     assert len(got) > 1000 and got == want and "Window" not in plan
+
+
+@pytest.mark.parametrize("ids", [None, [1, 1, 2, 3, None, None, 4, 5, 1]])
+def test_pool_of_texts(spark, tmp_path, ids):
+    """Pages of one row are numbered where they lie, and nothing is moved; rows with one id, or none, are one page."""
+    texts = ["b a b c", "c d a", None, "", "x y x", "z y", "q r q", "é É e", "a b"]
+    got, want, plan = against_sql(spark, tmp_path, "a15_dictionary_pool", texts, ids)
+    assert got == want and plan.count("array_distinct") == 1 and (ids or not any(s in plan for s in ("Window", "Join", "Aggregate")))
