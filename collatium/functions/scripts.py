@@ -46,6 +46,8 @@ def one_of(signs, more: str = "", without: bool = False) -> str:
 BASE, MARK, SIGN = one_of(HEBREW), one_of(HEBREW_MARKS), one_of(HEBREW_SIGNS)
 STRAY = one_of("".join([*HEBREW, *HEBREW_MARKS, *HEBREW_SIGNS]), r" \t-\r", without=True)
 UNIT = rf"(?:{BASE}{MARK}*|{SIGN}|{BLANK})"
+#: What of a visual text makes its last word in reading order: all up to the first blank after a letter or sign.
+LAST_WORD = rf"^{one_of([*HEBREW, *HEBREW_SIGNS], without=True)}*[^ \t-\r]*"
 TABLE = HEBREW | HEBREW_MARKS | HEBREW_SIGNS
 SINGLE = {k: v for k, v in TABLE.items() if len(v) == 1}
 MANY = {k: v for k, v in TABLE.items() if len(v) > 1}
@@ -243,7 +245,19 @@ LONE = rf"[{PROCLITIC}][\x{{0591}}-\x{{05af}}\x{{05b0}}-\x{{05b8}}\x{{05bb}}-\x{
 
 def bound(words: Column, joined: Column) -> Column:
     """Words (an array) with every lone proclitic bound to the Hebrew word after it; the first word of a joined piece is the end of another and isn't."""
-    at = F.sequence(F.lit(0), F.size(words) - 1)
-    glue = lambda i: F.get(words, i).rlike(f"^{LONE}$") & F.coalesce(F.get(words, i + 1).rlike("^[א-ת]"), F.lit(False)) & ~((i == 0) & joined)
-    pieces = F.transform(at, lambda i: F.concat(F.get(words, i), F.when(glue(i) | (i == F.size(words) - 1), "").otherwise(" ")))
-    return F.when(F.size(words) > 0, F.array_join(pieces, "")).otherwise("")
+    return bound_text(F.array_join(words, " "), joined)
+
+
+def bound_text(text: Column, joined: Column) -> Column:
+    """The same of words that single blanks part."""
+    inside = bound_inside(text)
+    return F.when(joined, inside).otherwise(bound_first(inside))
+
+
+def bound_inside(text: Column) -> Column:
+    """Lone proclitics bound, but not the first word, which no blank is before."""
+    return F.regexp_replace(text, f"(?<= )({LONE}) (?=[א-ת])", "$1")
+
+
+def bound_first(text: Column) -> Column:
+    return F.regexp_replace(text, f"^({LONE}) (?=[א-ת])", "$1")

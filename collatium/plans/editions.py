@@ -201,16 +201,22 @@ p AS (SELECT *, lone AND row_number() OVER (PARTITION BY doc_id, lone, run ORDER
 j AS (SELECT *, joined OR coalesce(lag(binds) OVER (PARTITION BY doc_id ORDER BY ord), false) AS now FROM p)
 SELECT doc_id, ord, now AS joined, md5(CASE WHEN cls = 'ogabbr' THEN array_to_string(l, ' ') ELSE array_to_string({GLUES.replace('joined', 'now')}, '') END) AS text FROM j""")
 def c19(spark, d):
-    """Lone prefixes bound to the word after them: within a segment, and over its end, where of several in a row every second binds."""
-    h = segments(spark, d).withColumn("l", F.split(to_hebrew(F.col("text")), " "))
+    """Lone prefixes bound to the word after them: within a segment, and over its end, where of several in a row every second binds.
+
+    One order of the segments serves every step, and two digests go through it instead of a text: as it is, and as it would
+    be if the segment before bound itself to it.
+    """
+    h = segments(spark, d).withColumn("heb", to_hebrew(F.col("text")))
+    lone = F.col("heb").rlike(f"^{scripts.LONE}$") & (F.col("cls") != "ogabbr") & ~F.col("joined")
+    h = h.withColumn("lone", lone).withColumn("inside", F.when(F.col("cls") == "ogabbr", F.col("heb")).otherwise(scripts.bound_inside(F.col("heb"))))
+    own = F.when(F.col("joined") | (F.col("cls") == "ogabbr"), F.col("inside")).otherwise(scripts.bound_first(F.col("inside")))
+    h = h.select("doc_id", "ord", "cls", "joined", "lone", F.md5(own).alias("own"), F.md5("inside").alias("after"))
     w = Window.partitionBy("doc_id").orderBy("ord")
-    h = h.withColumn("lone", (F.size("l") == 1) & F.get("l", F.lit(0)).rlike(f"^{scripts.LONE}$") & (F.col("cls") != "ogabbr") & ~F.col("joined"))
-    h = order.runs_of_equal(h, ["doc_id"], ["ord"], F.col("lone"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("ord")) % 2 == 1
+    h = h.withColumn("i", F.row_number().over(w))
+    turn = (F.col("i") - F.coalesce(F.max(F.when(~F.col("lone"), F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))) % 2 == 1
     h = h.withColumn("binds", F.col("lone") & turn & F.coalesce(F.lead("cls").over(w) != "ogabbr", F.lit(False)))
-    h = h.withColumn("joined", F.col("joined") | F.coalesce(F.lag("binds").over(w), F.lit(False)))
-    text = F.when(F.col("cls") == "ogabbr", F.array_join("l", " ")).otherwise(scripts.bound(F.col("l"), F.col("joined")))
-    return h.select("doc_id", "ord", "joined", F.md5(text).alias("text"))
+    h = h.withColumn("taken", ~F.col("joined") & F.coalesce(F.lag("binds").over(w), F.lit(False)))
+    return h.select("doc_id", "ord", (F.col("joined") | F.col("taken")).alias("joined"), F.when(F.col("taken"), F.col("after")).otherwise(F.col("own")).alias("text"))
 
 
 FRAGMENT = lambda heb: f"regexp_matches(regexp_replace(regexp_extract({heb}, '([^ ]+) *$', 1), '[^א-ת]', '', 'g'), '^[{scripts.PROCLITIC}]{{1,2}}$')"

@@ -166,3 +166,17 @@ def test_pool_of_texts(spark, tmp_path, ids):
     texts = ["b a b c", "c d a", None, "", "x y x", "z y", "q r q", "é É e", "a b"]
     got, want, plan = against_sql(spark, tmp_path, "a15_dictionary_pool", texts, ids)
     assert got == want and plan.count("array_distinct") == 1 and (ids or not any(s in plan for s in ("Window", "Join", "Aggregate")))
+
+
+def lone_texts(n=300):
+    import random
+
+    rng = random.Random(11)
+    words = ["w", "'w", "b'", "l", "h", "ab", "~kl", "-", "w-", "g'", "x", "`", "e"]
+    return [None, "", "w. ab", "w. w. w. ab. w"] + [". ".join(" ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 1, 2, 3, 5]))) for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+
+
+def test_lone_prefixes_in_one_order(spark, tmp_path):
+    """Runs of lone prefixes over ends of segments; no text goes through the order, nor is it cut into words."""
+    got, want, plan = against_sql(spark, tmp_path, "c19_bound_proclitics", lone_texts())
+    assert len(got) > 1000 and got == want and "transform(" not in plan and plan.count("md5") == 2
