@@ -127,13 +127,19 @@ def projected(segments: DataFrame, by: str, at: str, keep: Sequence[str], varian
     in_order = Window.partitionBy(by).orderBy(at)
     rows = segments.withColumn("_kept", F.col("cls").isin(*keep))
     rows = rows.withColumn("_part", F.coalesce(F.sum(F.col("_kept").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gone = lambda c: F.coalesce(F.bool_or(~F.col("_kept") & c).over(Window.partitionBy(by, "_part")), F.lit(False))
+    # parts and runs never go back within the order, so that one order by part and place serves all that follows
+    after = Window.partitionBy(by).orderBy("_part", at)
+    part = Window.partitionBy(by, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gone = lambda c: F.coalesce(F.bool_or(~F.col("_kept") & c).over(part), F.lit(False))
     rows = rows.withColumns({"_gap": gone(~F.col("cls").isin(*variants)), "_spaced": gone(F.col("text").rlike(blank)), "_hard": gone(~F.col("text").rlike(blank + "$"))}).filter("_kept")
-    rows = rows.withColumns({"_t": F.when(F.col("_gap"), F.regexp_replace("text", f"-({blank}*)$", " $1")).otherwise(F.col("text")), "_prev": F.lag("text").over(in_order)})
-    rows = rows.withColumn("_run", F.sum(F.col("_gap").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.collect_list(F.when(F.col("_spaced"), F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))).over(Window.partitionBy(by, "_run").orderBy(at).rowsBetween(-3, 0))
-    rows = rows.withColumn("_dangling", scripts.bound_fragment(scripts.to_hebrew(F.array_join(F.reverse(last), ""))))
-    closes = F.col("_prev").isNotNull() & F.col("_hard") & ~F.col("_prev").rlike("^" + blank) & F.coalesce(F.lag("_dangling").over(in_order), F.lit(False))
+    rows = rows.withColumns({"_t": F.when(F.col("_gap"), F.regexp_replace("text", f"-({blank}*)$", " $1")).otherwise(F.col("text")), "_prev": F.lag("text").over(after)})
+    rows = rows.withColumn("_run", F.sum(F.col("_gap").cast("int")).over(after.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_piece", F.when(F.col("_spaced"), F.concat("_t", F.lit(" "))).otherwise(F.col("_t")))
+    before = [F.when(F.lag("_run", i).over(after) == F.col("_run"), F.lag("_piece", i).over(after)) for i in (1, 2, 3)]
+    rows = rows.withColumn("_last", F.concat(*[F.coalesce(c, F.lit("")) for c in (F.col("_piece"), *before)]))
+    # the last word stands first in visual order: no more than it is spelled out
+    rows = rows.withColumn("_dangling", scripts.bound_fragment(scripts.to_hebrew(F.regexp_extract("_last", scripts.LAST_WORD, 0))))
+    closes = F.col("_prev").isNotNull() & F.col("_hard") & ~F.col("_prev").rlike("^" + blank) & F.coalesce(F.lag("_dangling").over(after), F.lit(False))
     parts = F.col("_spaced") & F.col("_prev").isNotNull() & (F.col("_t") != "") & ~F.col("_t").rlike(r"[ \t-\r`-]$") & ~F.col("_prev").rlike(r"^[ \t-\r-]")
     text = F.when(closes, F.regexp_replace("_t", blank + "+$", "")).when(parts, F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))
     return rows.select(by, at, "cls", text.alias("text"))

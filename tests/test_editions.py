@@ -180,3 +180,8 @@ def test_lone_prefixes_in_one_order(spark, tmp_path):
     """Runs of lone prefixes over ends of segments; no text goes through the order, nor is it cut into words."""
     got, want, plan = against_sql(spark, tmp_path, "c19_bound_proclitics", lone_texts())
     assert len(got) > 1000 and got == want and "transform(" not in plan and plan.count("md5") == 2
+
+
+def test_seams_spell_out_last_words_only(spark, tmp_path):
+    got, want, plan = against_sql(spark, tmp_path, "f17_column_projection", lone_texts() + odd_texts())
+    assert len(got) > 1000 and got == want and "collect_list" not in plan
