@@ -135,12 +135,13 @@ far AS (SELECT token, min(lang) AS reading FROM {LABELLED} GROUP BY token HAVING
 SELECT doc_id, token, n, coalesce(near.reading, far.reading) AS reading, CASE WHEN near.reading IS NOT NULL THEN 'local' WHEN far.reading IS NOT NULL THEN 'index' ELSE 'none' END AS tier
 FROM t LEFT JOIN near USING (doc_id, token) LEFT JOIN far USING (token)""")
 def j13(spark, d):
-    # one count by text, token and language serves the forms and the index
-    forms = tokens(spark, d, "documents", "doc_id", "lang").groupBy("doc_id", "token", "lang").agg(F.count("*").alias("n"))
+    # languages are asked of each text's distinct words, which go to the index in few bytes; forms are counted and looked up apart
+    docs = load(spark, d, "documents", "lang", "text")
+    langs = docs.select("lang", F.explode(F.array_distinct(folds.words(F.col("text")))).alias("token")).groupBy("token", "lang").agg(F.count("*").alias("n"))
+    far = indexes.sole(langs, "token", "lang").select("token", F.col("lang").alias("_far"))
     near = tokens(spark, d, "benchmark", "item_id").select(F.col("item_id").alias("doc_id"), "token").distinct().withColumn("_near", F.concat(F.lit("item"), "doc_id"))
-    far = indexes.sole(forms.groupBy("token", "lang").agg(F.sum("n").alias("n")), "token", "lang").select("token", F.col("lang").alias("_far"))
-    forms = forms.drop("lang")
-    rows = forms.join(near, ["doc_id", "token"], "left").join(far, "token", "left")
+    forms = tokens(spark, d).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    rows = forms.join(near, ["doc_id", "token"], "left").join(far.hint("shuffle_hash"), "token", "left")
     tier = F.when(F.col("_near").isNotNull(), "local").when(F.col("_far").isNotNull(), "index").otherwise("none")
     return rows.select("doc_id", "token", "n", F.coalesce("_near", "_far").alias("reading"), tier.alias("tier"))
 

@@ -185,3 +185,21 @@ def test_lone_prefixes_in_one_order(spark, tmp_path):
 def test_seams_spell_out_last_words_only(spark, tmp_path):
     got, want, plan = against_sql(spark, tmp_path, "f17_column_projection", lone_texts() + odd_texts())
     assert len(got) > 1000 and got == want and "collect_list" not in plan
+
+
+def test_forms_of_repeated_ids_in_two_languages(spark, tmp_path):
+    """Texts of one id are one page of forms, whatever their languages."""
+    import duckdb
+
+    from collatium.plans import catalog
+
+    docs = [(1, "a b a", "en"), (1, "a c", "de"), (2, "b c", "de"), (3, "c d", None), (None, "d", "fr"), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "c x")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    sql = con.execute(catalog.oracle_sql()["j13_two_tier_lookup"])
+    at = [d[0] for d in sql.description]
+    got = catalog.queries()["j13_two_tier_lookup"](spark, str(tmp_path)).select(*at).collect()
+    assert sorted(repr(list(r)) for r in got) == sorted(repr(list(r)) for r in sql.fetchall())
